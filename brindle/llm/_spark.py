@@ -49,7 +49,7 @@ class Scratch:
         """Write ``df`` and read it back.  Afterwards the JVM may free the shuffle files that only it needed."""
         path = self.path(name)
         schema = df.schema
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         del df
         self.spark._jvm.System.gc()
         out = self.spark.read.schema(schema).parquet(path)

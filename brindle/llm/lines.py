@@ -97,7 +97,7 @@ def cut_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """
     bits = drops.groupBy("doc_id", F.shiftright("line", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, line & 63)")).alias("bits"))
     bits = bits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("gone"))
-    out = docs.join(bits, "doc_id", "left").withColumn("all_lines", split_lines(F.col("text")))
+    out = docs.join(bits.hint("merge"), "doc_id", "left").withColumn("all_lines", split_lines(F.col("text")))
     kept = F.expr("filter(all_lines, (x, i) -> (shiftright(coalesce(gone[shiftright(i, 6)], 0L), i & 63) & 1L) = 0L)")
     out = out.withColumn("left_lines", F.when(F.col("gone").isNull(), F.col("all_lines")).otherwise(kept))
     return (

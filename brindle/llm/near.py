@@ -156,7 +156,7 @@ def near_duplicates(
     shared = slots.groupBy("key").agg(F.min("doc_id").alias("p"), F.count("*").alias("c")).where("c > 1").select("key", "p")
     slots = scratch.table(slots.join(shared, "key").select("key", "doc_id", "n_shingles", "p"), "slots")
     involved = slots.select("doc_id").distinct()
-    texts = scratch.table(docs.join(involved, "doc_id").join(sigs.select("doc_id", "n_shingles", "signature"), "doc_id"), "texts")
+    texts = scratch.table(docs.join(involved.join(sigs.select("doc_id", "n_shingles", "signature"), "doc_id").hint("merge"), "doc_id"), "texts")
     # a star in every bucket
     pairs = scratch.table(slots.where("doc_id <> p").select("p", F.col("doc_id").alias("x")).distinct(), "pairs")
     links = scratch.table(confirm(pairs, texts, width, percent, bands, rows), "links")

@@ -141,10 +141,11 @@ def pseudonymise(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
     """``doc_id, text, n_entities, kinds`` for every row: the text with surrogates, and the kinds found in order of place."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    maybe = docs.where(F.col("text").rlike(r"[@0-9=:]|\. \p{Lu}|(?:Miss|Sir|Madam|Herr|Frau|Monsieur|Señor|Mr|Mrs|Ms|Mme|Mlle|Sr|Sra|Dr|Prof|Г-н|Г-жа|Господин|Госпожа|Κύριος|Κυρία) "))
-    found = maybe.select("doc_id", F.posexplode(entities(F.col("text"))).alias("place", "surface")).withColumn("kind", kind_of(F.col("surface")))
+    likely = F.col("text").rlike(r"[@0-9=:]|\. \p{Lu}|(?:Miss|Sir|Madam|Herr|Frau|Monsieur|Señor|Mr|Mrs|Ms|Mme|Mlle|Sr|Sra|Dr|Prof|Г-н|Г-жа|Господин|Госпожа|Κύριος|Κυρία) ")
+    # one pass of the patterns over all texts; only texts with entities are shuffled afterwards
+    marked = scratch.table(docs.withColumn("surfaces", F.when(likely, entities(F.col("text")))), "marked")
+    found = marked.where("size(surfaces) > 0").select("doc_id", F.posexplode("surfaces").alias("place", "surface")).withColumn("kind", kind_of(F.col("surface")))
     found = scratch.table(found, "entities")
-    bare = F.regexp_replace("surface", r"[^0-9]", "")
     title = F.regexp_extract("surface", r"^(\S+?)\.? ", 1)
     gender = F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("u")
     plain = found.where("kind <> 'name'").select(
@@ -178,6 +179,9 @@ def pseudonymise(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
     )
     lists = scratch.table(lists, "stands")
     scratch.drop(found)
-    out = docs.join(lists, "doc_id", "left").withColumn("gaps", F.when(F.col("stands").isNotNull(), F.split("text", ANY, -1)))
+    hit = marked.where("size(surfaces) > 0").select("doc_id", "text").join(lists.hint("merge"), "doc_id", "left")
+    hit = hit.withColumn("gaps", F.split("text", ANY, -1))
     woven = F.expr("array_join(flatten(transform(gaps, (g, i) -> if(i < size(stands), array(g, stands[i]), array(g)))), '')")
-    return out.select("doc_id", F.when(F.col("stands").isNull(), F.col("text")).otherwise(woven).alias("text"), F.coalesce(F.size("stands"), F.lit(0)).cast("bigint").alias("n_entities"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+    hit = hit.select("doc_id", woven.alias("text"), F.size("stands").cast("bigint").alias("n_entities"), "kinds")
+    rest = marked.where("surfaces is null or size(surfaces) = 0").select("doc_id", "text", F.lit(0).cast("bigint").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    return hit.unionByName(rest)

@@ -127,7 +127,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     hits = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "leaves", "enters"))).alias("h"))
     # the next selected node of a text is repeated whenever the edge to it is, so neighbours in ``h`` are the edge's ends
     marks = hits.select("doc_id", F.expr("transform(h, (x, i) -> 2 * x.place + if(x.leaves and i + 1 < size(h) and h[i + 1].enters, 1, 0))").alias("marks"))
-    cand = scratch.table(docs.join(marks, "doc_id"), "candidates")
+    cand = scratch.table(docs.join(marks.hint("merge"), "doc_id"), "candidates")
     summary = scratch.table(each.select("doc_id", "n_words", "whole"), "summary")
     scratch.drop(each, nodes)
 
@@ -171,6 +171,6 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     kept.append(b" ".join([x for x, g in zip(words, gone[a:b].tolist()) if not g]).decode() if n else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_removed", "kept"])
 
-    results = cand.join(found, "doc_id", "left").select("doc_id", "text", "marks", "places").mapInArrow(cut, "doc_id bigint, n_removed bigint, kept string").where("n_removed > 0")
+    results = cand.join(found.hint("merge"), "doc_id", "left").select("doc_id", "text", "marks", "places").mapInArrow(cut, "doc_id bigint, n_removed bigint, kept string").where("n_removed > 0")
     results = results.withColumn("digest", F.sha2("kept", 256))
     return summary.join(results, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("digest", "whole").alias("kept_sha256"), "kept")
