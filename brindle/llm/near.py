@@ -3,7 +3,7 @@
 1. Every text becomes the set of its distinct word shingles (hashed to 64 bits), a fingerprint of the
    set, ``bands * rows`` universal hash minima and one key per band.
 2. Equal sets form a class with one representative, so copies are never compared.
-3. Members of a band bucket are paired with the bucket's smallest id (a star, not all pairs).  A pair is
+3. Members of a band bucket are paired with one member of the bucket (a star, not all pairs).  A pair is
    dropped when set sizes or the minima rule it out, else confirmed on the full sets.
 4. Components by large-star / small-star.  Only buckets whose members still lie in different components
    are looked at again, and there only pairs across components: all of them, so no link is lost that the
@@ -68,12 +68,14 @@ def minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out >> U(32)).astype(np.uint32)
 
 
-SIGNATURES = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, keys array<bigint>"
+SIGNATURES = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature array<bigint>, keys array<bigint>"
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients(bands * rows, seed)
+        longs = -(-bands * rows // 8)
+        pad = np.zeros(8 * longs - bands * rows, np.uint8)
         for batch in batches:
             for lo, sets in shingle_sets(batch.column(1), width):
                 marks = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets])
@@ -81,23 +83,40 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int) ->
                 for s in sets:
                     counts.append(bands if len(s) else 0)
                     if not len(s):
-                        sigs.append(b"")
+                        sigs.append(np.zeros(longs, np.int64))
                         continue
                     m = minima(s, a, b)
-                    sigs.append(m.astype(np.uint8).tobytes())
+                    sigs.append(np.concatenate([m.astype(np.uint8), pad]).view(np.int64))
                     k = np.arange(bands, dtype=np.uint64)
                     for col in m.reshape(bands, rows).T:
                         k = mix(k * U(0x9E3779B97F4A7C15) + col)
                     keys.append(k)
                 flat = signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(sigs, pa.binary()), ragged(flat, np.array(counts), pa.int64())],
+                    [batch.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), ragged(np.concatenate(sigs), np.full(len(sets), longs), pa.int64()), ragged(flat, np.array(counts), pa.int64())],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "keys"],
                 )
 
     return docs.mapInArrow(run, SIGNATURES)
 
 
+def least_equal(percent: int, bands: int, rows: int) -> int:
+    """Equal minima that a pair at the threshold has but for 4.5 standard deviations; the padding bytes count as equal."""
+    t, n = percent / 100, bands * rows
+    return int((t - 4.5 * (t * (1 - t) / n) ** 0.5) * n) + 8 * (-(-n // 8)) - n
+
+
+def equal_minima(x: str, y: str, n: int) -> str:
+    """SQL: how many of the bytes of two signatures (arrays of longs) are equal."""
+    out = []
+    for i in range(-(-n // 8)):
+        v = f"({x}[{i}] ^ {y}[{i}])"
+        a = f"({v} | (shiftrightunsigned({v}, 4) & {0x0F0F0F0F0F0F0F0F}L))"
+        b = f"({a} | (shiftrightunsigned({a}, 2) & {0x0303030303030303}L))"
+        out.append(f"bit_count(({b} | shiftrightunsigned({b}, 1)) & {0x0101010101010101}L)")
+    return f"{8 * len(out)} - (" + " + ".join(out) + ")"
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
     """Those of ``pairs`` (p, x, distinct) whose sets have 100 * intersection >= percent * union.
 
@@ -109,8 +128,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, bands:
     dealt = sized.select("p", F.expr(f"pmod(xxhash64(x, 7), int((c + {CHUNKS - 1}) div {CHUNKS}))").alias("run"), "x")
     need = dealt.select("p", "run", F.col("x").alias("doc_id"), F.lit(1).alias("part")).union(dealt.select("p", "run", F.col("p").alias("doc_id"), F.lit(0).alias("part")).distinct())
     stream = need.join(texts, "doc_id").repartition(n, "p", "run").sortWithinPartitions("p", "run", "part", "doc_id").select("p", "text", "run", "doc_id", "part", "signature", "n_shingles")
-    t = percent / 100
-    least = t - 4.5 * (t * (1 - t) / (bands * rows)) ** 0.5
+    least = least_equal(percent, bands, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = own = mine = None
@@ -120,12 +138,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, bands:
             for i in range(batch.num_rows):
                 if part[i] == 0:
                     (_, (own,)), = shingle_sets(batch.column(1).slice(i, 1), width)
-                    mine, head = np.frombuffer(sigs[i], dtype=np.uint8), p[i]
+                    mine, head = np.array(sigs[i], dtype=np.int64).view(np.uint8), p[i]
                     continue
                 assert head == p[i]
                 if 100 * min(len(own), size[i]) < percent * max(len(own), size[i]):
                     continue
-                if np.count_nonzero(mine == np.frombuffer(sigs[i], dtype=np.uint8)) < least * bands * rows:
+                if np.count_nonzero(mine == np.array(sigs[i], dtype=np.int64).view(np.uint8)) < least:
                     continue
                 (_, (other,)), = shingle_sets(batch.column(1).slice(i, 1), width)
                 both = len(np.intersect1d(own, other, assume_unique=True))
@@ -153,12 +171,14 @@ def near_duplicates(
     )
     reps = some.join(copies.select("doc_id"), "doc_id", "left_anti")
     slots = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    shared = slots.groupBy("key").agg(F.min("doc_id").alias("p"), F.count("*").alias("c")).where("c > 1").select("key", "p")
+    # the centre of a star: smallest in an order of the ids that differs from bucket to bucket, so that a
+    # member meets a different partner in each of its buckets
+    shared = slots.groupBy("key").agg(F.min(F.expr("doc_id ^ key")).alias("m"), F.count("*").alias("c")).where("c > 1").select("key", F.expr("m ^ key").alias("p"))
     slots = scratch.table(slots.join(shared, "key").select("key", "doc_id", "n_shingles", "p"), "slots")
     involved = slots.select("doc_id").distinct()
     texts = scratch.table(docs.join(involved.join(sigs.select("doc_id", "n_shingles", "signature"), "doc_id").hint("merge"), "doc_id"), "texts")
     # a star in every bucket
-    pairs = scratch.table(slots.where("doc_id <> p").select("p", F.col("doc_id").alias("x")).distinct(), "pairs")
+    pairs = scratch.table(slots.where("doc_id <> p").select(F.least("p", "doc_id").alias("p"), F.greatest("p", "doc_id").alias("x")).distinct(), "pairs")
     links = scratch.table(confirm(pairs, texts, width, percent, bands, rows), "links")
     heads = components(links, scratch)
     # buckets that still hold several components: every pair across them
@@ -167,10 +187,11 @@ def near_duplicates(
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low <> high")
     main = placed.join(mixed.select("key"), "key").groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = main.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    mixed = scratch.table(placed.join(main, "key"), "mixed")
-    one = mixed.where("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("comp").alias("cx"))
-    two = mixed.select("key", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("comp").alias("cy"))
-    across = one.join(two, "key").where(f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    mixed = scratch.table(placed.join(main, "key").join(sigs.select("doc_id", "signature"), "doc_id"), "mixed")
+    one = mixed.where("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("comp").alias("cx"), F.col("signature").alias("sx"))
+    two = mixed.select("key", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("comp").alias("cy"), F.col("signature").alias("sy"))
+    alike = f"{equal_minima('sx', 'sy', bands * rows)} >= {least_equal(percent, bands, rows)}"
+    across = one.join(two, (one.key == two.key) & F.expr(f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {alike}"))
     across = across.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("x")).distinct()
     more = scratch.table(across.join(pairs, ["p", "x"], "left_anti"), "across")
     found = scratch.table(confirm(more, texts, width, percent, bands, rows), "found")
