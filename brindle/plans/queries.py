@@ -232,9 +232,9 @@ def filter_barrier(spark, sf):
     return K.filter_no_pushdown(t(spark, sf, "part"), [col("p_size") > 25, col("p_retailprice") < 1500]).select("p_partkey", "p_size")
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS gross FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 7) AS gross FROM lineitem WHERE l_linenumber = 1")
 def columns_in_order(spark, sf):
-    df = K.with_columns_topo(t(spark, sf, "lineitem").where("l_linenumber = 1"), {"gross": F.round(col("raw") * (1 + col("l_tax")), 4), "net": F.round("raw", 4), "raw": col("l_extendedprice") * (1 - col("l_discount"))})
+    df = K.with_columns_topo(t(spark, sf, "lineitem").where("l_linenumber = 1"), {"gross": F.round(col("raw") * (1 + col("l_tax")), 7), "net": F.round("raw", 6), "raw": col("l_extendedprice") * (1 - col("l_discount"))})
     return df.select("l_orderkey", "l_linenumber", "net", "gross")
 
 
