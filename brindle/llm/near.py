@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ._spark import Scratch, components, partitions
 from ._text import U, Words, mix, ragged, signed, text_chunks
 
+BLOCK = 192  # documents of a block in a large bucket
 CHUNKS = 64  # partners of one document that are compared in one run
 
 
@@ -153,8 +154,81 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, bands:
     return stream.mapInArrow(run, "a bigint, b bigint")
 
 
+def across_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """Links across components in large buckets (``key, doc_id, comp, main, m, u``).
+
+    Members outside the bucket's main component are dealt into blocks, all members too, and every block
+    of the one meets every block of the other: a bounded number of texts, compared by one product of
+    shingle indicators.  Of a document's links into one component the first is returned, as one joins them.
+    """
+    n = partitions(members.sparkSession)
+    cut = members.select("key", "doc_id", "comp", (F.col("comp") != F.col("main")).alias("out"), F.expr(f"int(ceil(u / {BLOCK}))").alias("nu"), F.expr(f"int(ceil(m / {BLOCK}))").alias("nm"))
+    one = cut.where("out").select("key", "doc_id", "comp", F.expr("int(pmod(xxhash64(doc_id, 5), nu))").alias("i"), F.explode(F.expr("sequence(0, nm - 1)")).alias("j"), F.lit(0).alias("side"))
+    two = cut.select("key", "doc_id", "comp", F.explode(F.expr("sequence(0, nu - 1)")).alias("i"), F.expr("int(pmod(xxhash64(doc_id, 9), nm))").alias("j"), F.lit(1).alias("side"))
+    stream = one.unionByName(two).join(texts.select("doc_id", "text", "signature"), "doc_id").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "doc_id", "comp", "side", "text", "signature")
+    least = least_equal(percent, bands, rows)
+
+    def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids, comp, side = (np.asarray(t.column(c)) for c in (3, 4, 5))
+        sig = np.asarray(t.column(7).flatten(), dtype=np.int64).view(np.uint8).reshape(t.num_rows, -1)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        near = np.zeros((len(a), len(b)), dtype=bool)
+        for k, r in enumerate(a):
+            near[k] = ((sig[b] == sig[r]).sum(axis=1) >= least) & (comp[b] != comp[r])
+        if not near.any():
+            return None
+        sets = [s for _, part in shingle_sets(t.column(6), width) for s in part]
+        size = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        values, at = np.unique(flat, return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        common = np.zeros((len(a), len(b)), dtype=np.float32)
+        place = np.zeros(t.num_rows, dtype=np.int64)
+        place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+        for lo in range(0, len(values), 8192):  # indicators of some shingles at a time
+            inside = (at >= lo) & (at < lo + 8192)
+            width_ = min(8192, len(values) - lo)
+            x, y = np.zeros((len(a), width_), np.float32), np.zeros((len(b), width_), np.float32)
+            left = inside & (side[row] == 0)
+            right = inside & (side[row] == 1)
+            x[place[row[left]], at[left] - lo] = 1
+            y[place[row[right]], at[right] - lo] = 1
+            common += x @ y.T
+        both = np.rint(common).astype(np.int64)
+        linked = near & (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both))
+        out = []
+        for k in range(len(a)):
+            ys = b[np.flatnonzero(linked[k])]
+            if len(ys):
+                _, first = np.unique(comp[ys], return_index=True)
+                out += [(int(ids[a[k]]), int(ids[y])) for y in ys[first]]
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            k = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(3)], axis=1)
+            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)]):
+                if lo == hi:
+                    continue
+                this = tuple(k[lo].tolist())
+                if this != key:
+                    if held and (got := compare(held)) is not None:
+                        yield got
+                    key, held = this, []
+                held.append(batch.slice(lo, hi - lo))
+        if held and (got := compare(held)) is not None:
+            yield got
+
+    return stream.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, seed: int = 11
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, seed: int = 11, pairs_most: int = 16_384
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; ids are unique bigints.
 
@@ -188,14 +262,21 @@ def near_duplicates(
     main = placed.join(mixed.select("key"), "key").groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = main.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     mixed = scratch.table(placed.join(main, "key").join(sigs.select("doc_id", "signature"), "doc_id"), "mixed")
-    one = mixed.where("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("comp").alias("cx"), F.col("signature").alias("sx"))
-    two = mixed.select("key", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("comp").alias("cy"), F.col("signature").alias("sy"))
+    # small buckets: pairs; large ones: blocks, which return links only
+    sizes = mixed.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.expr("comp <> main")).alias("u"))
+    sized = scratch.table(mixed.join(sizes, "key"), "sized")
+    few = sized.where(f"u * m <= {pairs_most}")
+    one = few.where("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("comp").alias("cx"), F.col("signature").alias("sx"))
+    two = few.select("key", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("comp").alias("cy"), F.col("signature").alias("sy"))
     alike = f"{equal_minima('sx', 'sy', bands * rows)} >= {least_equal(percent, bands, rows)}"
     across = one.join(two, (one.key == two.key) & F.expr(f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {alike}"))
     across = across.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("x")).distinct()
     more = scratch.table(across.join(pairs, ["p", "x"], "left_anti"), "across")
-    found = scratch.table(confirm(more, texts, width, percent, bands, rows), "found")
-    scratch.drop(slots, texts, pairs, placed, mixed, more)
+    found = confirm(more, texts, width, percent, bands, rows)
+    if sized.where(f"u * m > {pairs_most}").head(1):
+        found = found.union(across_blocks(sized.where(f"u * m > {pairs_most}"), texts, width, percent, bands, rows))
+    found = scratch.table(found, "found")
+    scratch.drop(slots, texts, pairs, placed, mixed, sized, more)
     if found.head(1):
         known = heads.select("id", "component")
         lifted = (
