@@ -36,6 +36,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 #: Never shown, or not article text by their meaning.
 DROP = frozenset("head script style noscript template iframe object svg canvas nav footer aside form button select textarea input label menu dialog noembed noframes xmp title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Take no room on the page, so text around them is one block.
+UNSEEN = frozenset("script style template noscript".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BLOCK = frozenset("address article aside blockquote body center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side-bar|footer|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|comment-\w+|respond|replies|disqus|widget|toolbar|pagination|pager|legal|disclaimer|copyright|skip|search)(?:$|[\s_-])", re.I)
@@ -217,7 +219,7 @@ def main_text(page: str, low: frozenset[int]) -> str:
             else:
                 node, inside = x
                 if node.bad or not inside and low and _h(node.path) in low:
-                    if node.tag not in INLINE:
+                    if node.tag not in INLINE and node.tag not in UNSEEN:
                         _flush(run, blocks)
                     continue
                 inner = [k if isinstance(k, str) else (k, inside or k.main) for k in node.kids]
