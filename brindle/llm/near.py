@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._spark import Scratch, components, partitions
 from ._text import U, Words, mix, ragged, signed, text_chunks
 
-BLOCK = 192  # documents of a block in a large bucket
+BLOCK = 512  # documents of a block in a large bucket
 CHUNKS = 64  # partners of one document that are compared in one run
 
 
