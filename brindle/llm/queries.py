@@ -16,10 +16,15 @@ SECRET = "brindle-demo-key"
 NEAR = {"width": 3, "percent": 85}
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of a data folder.  Arrow batches to Python are held to sizes that long texts cannot inflate."""
+def tune(spark: SparkSession) -> None:
+    """Hold Arrow batches to Python to sizes that long texts cannot inflate."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of a data folder."""
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import lines, near, packing, pii, quality
 from brindle.llm._spark import Scratch
-from brindle.llm.queries import SECRET, read, tokenizer
+from brindle.llm.queries import SECRET, tokenizer, tune
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,7 +20,7 @@ def _with_text(docs: DataFrame, new: DataFrame) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    read(spark, sf_dir, "documents")
+    tune(spark)
     verdict = quality.quality(docs, tokenizer("piece_bpe_32k.model")).where("kept").select("doc_id")
     verdict = Scratch(spark).table(verdict, "kept")
     return docs.select(*COLUMNS).join(verdict, "doc_id", "left_semi")
@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
-    read(spark, sf_dir, "documents")
+    tune(spark)
     kept = near.near_duplicates(docs).where("kept").select("doc_id")
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
 
@@ -46,7 +46,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: which words of which document go into which bin."""
-    read(spark, sf_dir, "documents")
+    tune(spark)
     return packing.pack(docs)
 
 
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     scratch = Scratch(spark)
     for name, stage in STAGES[:-1]:
         before, docs = docs, scratch.table(stage(spark, docs, sf_dir), name)
