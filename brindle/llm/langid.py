@@ -13,7 +13,9 @@ by a hash of the id.  Null texts and texts without letters are ``und`` with scor
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -66,38 +68,51 @@ class Model:
         self.table = {}
         for n, units in counts.items():
             total = sum(units.values(), np.zeros(len(langs))) + 0.5 * (len(units) + 1)
-            self.table[n] = {u: np.log((c + 0.5) / total) for u, c in units.items()}
-        self.known: dict[str, np.ndarray] = {}
+            self.table[n] = {u: tuple(np.log((c + 0.5) / total)) for u, c in units.items()}
+        self.clear()
 
-    def word(self, w: str) -> np.ndarray:
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sums = array("d")
+
+    def word(self, w: str) -> tuple[float, ...]:
+        """Per language the log frequency of a word, or of the n-grams that cover it."""
         got = self.table[0].get(w)
         if got is not None:
             return got
-        edged, out, i = f"<{w}>", np.zeros(len(self.langs)), 0
+        edged, out, i, tables = f"<{w}>", (0.0,) * len(self.langs), 0, [(n, self.table[n]) for n in LENGTHS]
         while i < len(edged):
-            for n in LENGTHS:
-                got = self.table[n].get(edged[i : i + n]) if i + n <= len(edged) else None
+            for n, table in tables:
+                got = table.get(edged[i : i + n]) if i + n <= len(edged) else None
                 if got is not None:
-                    out = out + got
+                    out = tuple(map(add, out, got))
                     i += n
                     break
             else:
                 i += 1
         return out
 
-    def predict(self, words: list[str]) -> tuple[str, float]:
-        if not words:
-            return "und", 0.0
-        missing = set(words) - self.known.keys()
+    def predict(self, texts: list[list[str]]) -> list[tuple[str, float]]:
+        """Language and score of each text, given as its words."""
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        missing = set().union(*texts) - self.known.keys()
         if len(self.known) + len(missing) > CACHE:
-            self.known.clear()
-            missing = set(words)
+            self.clear()
+            missing = set().union(*texts)
         for w in missing:
-            self.known[w] = self.word(w)
-        total = np.sum([self.known[w] for w in words], axis=0) if len(words) < 64 else np.array(list(map(self.known.__getitem__, words))).sum(axis=0)
-        best = int(total.argmax())
-        p = np.exp((total - total[best]) / len(words) * min(len(words), CONFIDENT))
-        return self.langs[best], float(1.0 / p.sum())
+            self.known[w] = len(self.known)
+            self.sums.extend(self.word(w))
+        counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        index = np.fromiter((self.known[w] for words in texts for w in words), dtype=np.int64, count=int(counts.sum()))
+        table = np.frombuffer(self.sums, dtype=np.float64).reshape(-1, len(self.langs)) if self.sums else np.zeros((0, len(self.langs)))
+        running = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(table[index], axis=0)])
+        ends = np.cumsum(counts)
+        total = running[ends] - running[ends - counts]
+        best = total.argmax(axis=1)
+        per = np.minimum(counts, CONFIDENT) / np.maximum(counts, 1)
+        score = 1.0 / np.exp((total - total.max(axis=1, keepdims=True)) * per[:, None]).sum(axis=1)
+        return [(self.langs[b], float(p)) if n else ("und", 0.0) for b, p, n in zip(best.tolist(), score.tolist(), counts.tolist())]
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 4000, words: int = 20_000, grams: int = 10_000) -> Model:
@@ -122,7 +137,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             texts = batch.column(1)
             for lo, hi, _, _ in text_chunks(texts):
-                got = [m.predict(WORD.findall((t or "").lower())) if m.langs else ("und", 0.0) for t in texts.slice(lo, hi - lo).to_pylist()]
+                got = m.predict([WORD.findall((t or "").lower()) for t in texts.slice(lo, hi - lo).to_pylist()])
                 langs, scores = zip(*got)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
