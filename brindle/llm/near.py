@@ -3,8 +3,9 @@
 1. Every text becomes the set of its distinct word shingles (hashed to 64 bits), a fingerprint of the
    set, ``bands * rows`` universal hash minima and one key per band.
 2. Equal sets form a class with one representative, so copies are never compared.
-3. Members of a band bucket are paired with one member of the bucket (a star, not all pairs).  A pair is
-   dropped when set sizes or the minima rule it out, else confirmed on the full sets.
+3. Members of a band bucket are paired with one member of the bucket (a star, not all pairs): in a fifth of
+   the bands first, then in the others where the two are not yet in one component.  A pair is dropped when
+   set sizes or the minima rule it out, else confirmed on the full sets.
 4. Components by large-star / small-star.  Only buckets whose members still lie in different components
    are looked at again, and there only pairs across components: all of them, so no link is lost that the
    bands bring together (a pair at the threshold is missed with probability (1 - t**rows)**bands, 4e-7
@@ -244,17 +245,29 @@ def near_duplicates(
         some.select("doc_id", "set_a", "set_b", "n_shingles").join(copies, ["set_a", "set_b", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep"), "copies"
     )
     reps = some.join(copies.select("doc_id"), "doc_id", "left_anti")
-    slots = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    slots = reps.select("doc_id", "n_shingles", F.posexplode("keys").alias("band", "key"))
     # the centre of a star: smallest in an order of the ids that differs from bucket to bucket, so that a
     # member meets a different partner in each of its buckets
     shared = slots.groupBy("key").agg(F.min(F.expr("doc_id ^ key")).alias("m"), F.count("*").alias("c")).where("c > 1").select("key", F.expr("m ^ key").alias("p"))
-    slots = scratch.table(slots.join(shared, "key").select("key", "doc_id", "n_shingles", "p"), "slots")
+    slots = scratch.table(slots.join(shared, "key").select("key", "band", "doc_id", "n_shingles", "p"), "slots")
     involved = slots.select("doc_id").distinct()
     texts = scratch.table(docs.join(involved.join(sigs.select("doc_id", "n_shingles", "signature"), "doc_id").hint("merge"), "doc_id"), "texts")
-    # a star in every bucket
-    pairs = scratch.table(slots.where("doc_id <> p").select(F.least("p", "doc_id").alias("p"), F.greatest("p", "doc_id").alias("x")).distinct(), "pairs")
-    links = scratch.table(confirm(pairs, texts, width, percent, bands, rows), "links")
+    # a star in every bucket of the first bands, then in those of the others where it joins two components
+    first = -(-bands // 5)
+    star = slots.where("doc_id <> p")
+    apart = F.least("p", "doc_id").alias("p"), F.greatest("p", "doc_id").alias("x")
+    early = scratch.table(star.where(F.col("band") < first).select(*apart).distinct(), "pairs")
+    links = scratch.table(confirm(early, texts, width, percent, bands, rows), "links")
     heads = components(links, scratch)
+    place = heads.select(F.col("id").alias("doc_id"), "component")
+    centres = star.where(F.col("band") >= first).select("key", "p").distinct()
+    centres = centres.join(place.select(F.col("doc_id").alias("p"), F.col("component").alias("cp")), "p", "left").select("key", F.coalesce("cp", "p").alias("cp"))
+    late = star.where(F.col("band") >= first).join(place, "doc_id", "left").join(centres, "key").where("coalesce(component, doc_id) <> cp")
+    late = scratch.table(late.select(*apart).distinct().join(early, ["p", "x"], "left_anti"), "pairs")
+    linked = scratch.table(confirm(late, texts, width, percent, bands, rows), "links")
+    if linked.head(1):
+        heads = components(links.union(linked), scratch)
+    pairs = early.union(late)
     # buckets that still hold several components: every pair across them
     placed = slots.join(heads, slots.doc_id == heads.id, "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
     placed = scratch.table(placed, "placed")
@@ -276,7 +289,7 @@ def near_duplicates(
     if sized.where(f"u * m > {pairs_most}").head(1):
         found = found.union(across_blocks(sized.where(f"u * m > {pairs_most}"), texts, width, percent, bands, rows))
     found = scratch.table(found, "found")
-    scratch.drop(slots, texts, pairs, placed, mixed, sized, more)
+    scratch.drop(slots, texts, early, late, placed, mixed, sized, more)
     if found.head(1):
         known = heads.select("id", "component")
         lifted = (
@@ -290,6 +303,6 @@ def near_duplicates(
     of_rep = heads.select(F.col("id").alias("doc_id"), "component")
     of_copy = copies.join(heads, copies.rep == heads.id, "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     placed = scratch.table(of_rep.union(of_copy), "components")
-    scratch.drop(copies, links, found)
+    scratch.drop(copies, links, linked, found)
     out = sigs.select("doc_id", "n_shingles").join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
