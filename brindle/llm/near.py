@@ -128,7 +128,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, bands:
     n = partitions(pairs.sparkSession)
     sized = pairs.join(pairs.groupBy("p").agg(F.count("*").alias("c")), "p")
     dealt = sized.select("p", F.expr(f"pmod(xxhash64(x, 7), int((c + {CHUNKS - 1}) div {CHUNKS}))").alias("run"), "x")
-    need = dealt.select("p", "run", F.col("x").alias("doc_id"), F.lit(1).alias("part")).union(dealt.select("p", "run", F.col("p").alias("doc_id"), F.lit(0).alias("part")).distinct())
+    both = F.explode(F.array(F.struct(F.col("x").alias("doc_id"), F.lit(1).alias("part")), F.struct(F.col("p").alias("doc_id"), F.lit(0).alias("part")))).alias("b")
+    need = dealt.select("p", "run", both).select("p", "run", "b.doc_id", "b.part").distinct()
     stream = need.join(texts, "doc_id").repartition(n, "p", "run").sortWithinPartitions("p", "run", "part", "doc_id").select("p", "text", "run", "doc_id", "part", "signature", "n_shingles")
     least = least_equal(percent, bands, rows)
 
