@@ -230,7 +230,7 @@ def across_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, seed: int = 11, pairs_most: int = 16_384
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, seed: int = 11, pairs_most: int = 2_048
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; ids are unique bigints.
 
