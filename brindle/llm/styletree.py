@@ -7,8 +7,9 @@ children; of a leaf it is one less the mean entropy of its content features (tex
 the pages.  Everything alike on all pages tends to 0, what differs to 1.
 
 From each page go: invisible elements, elements whose tag or whose id / class / role words name a
-boilerplate part, and - outside ``article`` / ``main`` - branches whose importance is below ``least`` on
-hosts with at least ``pages`` pages.  If a page has an ``article`` or ``main``, text outside it goes.
+boilerplate part, and - outside ``article`` / ``main`` - branches that are low: the element and all below
+it are on at least ``pages_least`` pages of the host and of an importance below ``least``.  If a page has
+an ``article`` or ``main``, text outside it goes.
 
 The parser reads tags as they come: missing end tags are closed by the next block of the same kind or by
 an enclosing end tag, stray ones ignored.  Null html is an empty page.  The merged trees are a table of
@@ -95,7 +96,7 @@ def parse(page: str) -> Node:
             attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(raw)}
             marks = " ".join(x for x in (attrs.get("id"), attrs.get("class")) if x)
             if marks:
-                name = f"{tag}.{marks}"
+                name = f"{tag}.{marks}".replace("/", "|")
                 bad = bad or bool(BOILER.search(marks)) and tag not in ("html", "body", "article", "main")
             role = attrs.get("role", "")
             bad = bad or role in ROLES
@@ -145,11 +146,11 @@ def _h(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-STYLE = "host string, node bigint, parent bigint, kind int, feature bigint, c bigint"
+STYLE = "host string, node bigint, parent bigint, level int, kind int, feature bigint, c bigint"
 
 
 def observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, parent, kind, feature, pages): kind 0 counts pages with the node, 1 its styles, 2 its content features."""
+    """(host, node, parent, level, kind, feature, pages): kind 0 counts pages with the node, 1 its styles, 2 its content features."""
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
@@ -161,26 +162,26 @@ def observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x = stack.pop()
                     kids = [k for k in x.kids if isinstance(k, Node)]
                     blocks = [k for k in kids if k.tag not in INLINE]
-                    here, up = _h(x.path), _h(x.parent.path) if x.parent else 0
-                    seen.add((here, up, 0, 0))
-                    seen.add((here, up, 1, _h("|".join(dict.fromkeys(k.path for k in blocks)))))
+                    at = _h(x.path), _h(x.parent.path) if x.parent else 0, x.path.count("/")
+                    seen.add((*at, 0, 0))
+                    seen.add((*at, 1, _h("|".join(dict.fromkeys(k.path for k in blocks)))))
                     own = " ".join(" ".join(k.split()) for k in x.kids if isinstance(k, str)).strip()
                     if own:
-                        seen.add((here, up, 2, _h(own)))
+                        seen.add((*at, 2, _h(own)))
                     stack += kids
                 host = host_of(url)
                 for k in seen:
                     tally[host, *k] = tally.get((host, *k), 0) + 1
             if tally:
                 cols = list(zip(*tally))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0])] + [pa.array(c, t) for c, t in zip((*cols[1:], tally.values()), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "node", "parent", "kind", "feature", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0])] + [pa.array(c, t) for c, t in zip((*cols[1:], tally.values()), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "node", "parent", "level", "kind", "feature", "c"])
 
 
-def importances(pages: DataFrame, scratch: Scratch, damping: float, depth: int) -> DataFrame:
-    """``host, node, m, importance`` of the merged trees."""
-    seen = pages.mapInArrow(observations, STYLE).groupBy("host", "node", "parent", "kind", "feature").agg(F.sum("c").alias("c"))
+def importances(pages: DataFrame, scratch: Scratch, damping: float, least: float, pages_least: int) -> DataFrame:
+    """``host, node, m, importance, low`` of the merged trees; ``low``: the node and all below it are."""
+    seen = pages.mapInArrow(observations, STYLE).groupBy("host", "node", "parent", "level", "kind", "feature").agg(F.sum("c").alias("c"))
     seen = scratch.table(seen, "observations")
-    size = seen.where("kind = 0").groupBy("host", "node", "parent").agg(F.sum("c").alias("m"))
+    size = seen.where("kind = 0").groupBy("host", "node", "parent", "level").agg(F.sum("c").alias("m"))
     parts = seen.where("kind > 0").groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind") == 1, F.col("c") * F.log("c"))).alias("style"),
         F.avg(F.when(F.col("kind") == 2, F.log("c"))).alias("content"),
@@ -189,16 +190,23 @@ def importances(pages: DataFrame, scratch: Scratch, damping: float, depth: int)
     # entropy of styles, base m: ln m - sum c ln c / m, over ln m; a feature shown alike on c pages has entropy ln c / ln m
     own = F.when(F.col("m") <= 1, 1.0).otherwise(1 - F.coalesce(F.col("style") / F.col("m"), F.lit(0.0)) / F.log("m"))
     leaf = F.when(F.col("m") <= 1, 1.0).when(F.col("content").isNotNull(), 1 - F.col("content") / F.log("m"))
-    nodes = scratch.table(nodes.select("host", "node", "parent", "m", own.alias("own"), leaf.alias("leaf")), "nodes")
-    value = nodes.select("host", "node", "parent", "m", "own", "leaf", F.coalesce("leaf", F.lit(0.0)).alias("imp"))
-    for _ in range(depth):  # children's importance, weighted by the pages that show them, moves up one level a step
-        below = value.groupBy("host", F.col("parent").alias("node")).agg((F.sum(F.col("imp") * F.col("m")) / F.sum("m")).alias("kids"))
-        value = nodes.join(below, ["host", "node"], "left").select(
-            "host", "node", "parent", "m", "own", "leaf",
-            F.when(F.col("kids").isNull(), F.coalesce("leaf", F.col("own") * 0)).otherwise(F.greatest(F.coalesce("leaf", F.lit(0.0)), (1 - damping) * F.col("own") + damping * F.col("kids"))).alias("imp"),
-        )
+    nodes = scratch.table(nodes.select("host", "node", "parent", "level", "m", own.alias("own"), leaf.alias("leaf")), "nodes")
     scratch.drop(seen)
-    return value.select("host", "node", "m", F.col("imp").alias("importance"))
+    out = []
+    for level in range(nodes.agg(F.max("level")).head()[0] or 0, -1, -1):  # from the deepest level to the root
+        here = nodes.where(F.col("level") == level)
+        if out:  # children's importance, weighted by the pages that show them
+            below = out[-1].groupBy("host", F.col("parent").alias("node")).agg((F.sum(F.col("importance") * F.col("m")) / F.sum("m")).alias("kids"), F.min("low").alias("kids_low"))
+            here = here.join(below, ["host", "node"], "left")
+        else:
+            here = here.withColumn("kids", F.lit(None).cast("double")).withColumn("kids_low", F.lit(None).cast("boolean"))
+        text = F.coalesce("leaf", F.lit(0.0))
+        here = here.withColumn("importance", F.when(F.col("kids").isNull(), text).otherwise(F.greatest(text, (1 - damping) * F.col("own") + damping * F.col("kids"))))
+        low = (F.col("m") >= pages_least) & (F.col("importance") < least) & F.coalesce("kids_low", F.lit(True))
+        out.append(scratch.table(here.select("host", "node", "parent", "m", "importance", low.alias("low")), "level"))
+    scratch.drop(nodes)
+    schema = out[0].schema
+    return pages.sparkSession.read.schema(schema).parquet(*(x._brindle_path for x in out)).drop("parent")
 
 
 def main_text(page: str, low: frozenset[int]) -> str:
@@ -255,13 +263,13 @@ def _mains(root: Node) -> list[Node]:
 
 
 def extract(
-    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.35, pages_least: int = 8, damping: float = 0.9, depth: int = 6
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.35, pages_least: int = 8, damping: float = 0.9
 ) -> DataFrame:
     """``page_id, url, text`` for every row."""
     scratch = Scratch(pages.sparkSession)
     pages = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    tree = importances(pages, scratch, damping, depth)
-    low = tree.where((F.col("m") >= pages_least) & (F.col("importance") < least) & (F.col("node") != _h(""))).groupBy("host").agg(F.collect_list("node").alias("low"))
+    tree = importances(pages, scratch, damping, least, pages_least)
+    low = tree.where(F.col("low") & (F.col("node") != _h(""))).groupBy("host").agg(F.collect_list("node").alias("low"))
     low = scratch.table(low, "low")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/?#:]*)", 1))
 

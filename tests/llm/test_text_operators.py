@@ -293,3 +293,20 @@ def test_extract_uses_the_site(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string")
     got = {r.page_id: r.text for r in styletree.extract(df).collect()}
     assert got[3] == "Story number 3 d" and got[90] == "" and got[91] == "" and len(got) == 22
+
+
+def site(spark, page, n=20):
+    """Texts of ``n`` pages of one host; ``page`` makes the body of the i-th."""
+    rows = [(i, "http://h.example/x", f"<html><body>{page(i)}</body></html>") for i in range(n)]
+    return {r.page_id: r.text for r in styletree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_extract_keeps_what_differs_among_much_that_is_alike(spark):
+    got = site(spark, lambda i: f"<div class=top>Welcome to us</div><div class=body><p>Story number {i}</p></div><div class=end>Call again</div>")
+    assert got == {i: f"Story number {i}" for i in range(20)}
+
+
+def test_extract_keeps_text_below_many_wrappers(spark):
+    wraps = [f"<div class=w{k}>" for k in range(12)]
+    got = site(spark, lambda i: f"<div class=top>Welcome to us</div>{''.join(wraps)}<p>Story number {i}</p>{'</div>' * 12}")
+    assert got == {i: f"Story number {i}" for i in range(20)}
