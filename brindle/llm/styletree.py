@@ -7,9 +7,10 @@ children; of a leaf it is one less the mean entropy of its content features (tex
 the pages.  Everything alike on all pages tends to 0, what differs to 1.
 
 From each page go: invisible elements, elements whose tag or whose id / class / role words name a
-boilerplate part, and - outside ``article`` / ``main`` - branches that are low: the element and all below
-it are on at least ``pages_least`` pages of the host and of an importance below ``least``.  If a page has
-an ``article`` or ``main``, text outside it goes.
+boilerplate part, and branches that are low: the element and all below it are on at least ``pages_least``
+pages of the host and of an importance below ``least``.  If a page has an ``article`` or ``main``, text
+outside it goes; inside, an inline element among text is part of its sentence and goes only with its block.
+Where the low branches are all there is to a page (one article under many urls), its text stays.
 
 The parser reads tags as they come: missing end tags are closed by the next block of the same kind or by
 an enclosing end tag, stray ones ignored.  Null html is an empty page.  The merged trees are a table of
@@ -210,14 +211,18 @@ def importances(pages: DataFrame, scratch: Scratch, damping: float, least: float
 
 
 def main_text(page: str, low: frozenset[int]) -> str:
-    """The kept blocks of a page joined by one space; ``low``: nodes of low importance on its host."""
+    """The kept blocks of a page joined by one space; ``low``: nodes of low branches on its host."""
     root = parse(page)
     mark_headers(root)
     tops = _mains(root) or [root]
+    return " ".join(_blocks(tops, low) or low and _blocks(tops, frozenset()) or [])
+
+
+def _blocks(tops: list[Node], low: frozenset[int]) -> list[str]:
     blocks: list[str] = []
     for top in tops:
         run: list[str] = []
-        stack: list = [(top, top.main)]
+        stack: list = [(top, top.main, False)]
         while stack:
             x = stack.pop()
             if x is None:
@@ -225,18 +230,19 @@ def main_text(page: str, low: frozenset[int]) -> str:
             elif isinstance(x, str):
                 run.append(x)
             else:
-                node, inside = x
-                if node.bad or not inside and low and _h(node.path) in low:
+                node, inside, among = x
+                if node.bad or low and not (inside and among and node.tag in INLINE) and _h(node.path) in low:
                     if node.tag not in INLINE and node.tag not in UNSEEN:
                         _flush(run, blocks)
                     continue
-                inner = [k if isinstance(k, str) else (k, inside or k.main) for k in node.kids]
+                text = among and node.tag in INLINE or any(isinstance(k, str) and k.strip() for k in node.kids)
+                inner = [k if isinstance(k, str) else (k, inside or k.main, text) for k in node.kids]
                 if node.tag not in INLINE:
                     _flush(run, blocks)
                     inner.append(None)
                 stack += reversed(inner)
         _flush(run, blocks)
-    return " ".join(blocks)
+    return blocks
 
 
 def _flush(run: list[str], blocks: list[str]) -> None:

@@ -310,3 +310,12 @@ def test_extract_keeps_text_below_many_wrappers(spark):
     wraps = [f"<div class=w{k}>" for k in range(12)]
     got = site(spark, lambda i: f"<div class=top>Welcome to us</div>{''.join(wraps)}<p>Story number {i}</p>{'</div>' * 12}")
     assert got == {i: f"Story number {i}" for i in range(20)}
+
+
+def test_extract_judges_inside_articles(spark):
+    got = site(spark, lambda i: f"<article><h1>Title {i}</h1><p>Story <b>Note</b> number {i}</p><div class=who><p>By our staff</p></div><div class=box><a>Send</a> <a>Print</a></div></article>")
+    assert got == {i: f"Title {i} Story Note number {i}" for i in range(20)}
+
+
+def test_extract_keeps_one_article_under_many_urls(spark):
+    assert set(site(spark, lambda i: "<article><h1>Title</h1><p>Story</p></article>").values()) == {"Title Story"}
