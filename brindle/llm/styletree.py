@@ -6,12 +6,14 @@ entropy of its styles over the host's pages (base the number of pages), composed
 children; of a leaf it is one less the mean entropy of its content features (texts, link targets) over
 the pages.  Everything alike on all pages tends to 0, what differs to 1.
 
-From each page go: invisible elements, elements whose tag or whose id / class / role words name a
-boilerplate part, and branches that are low: the element and all below it are on at least ``pages_least``
+From each page go: invisible elements, elements whose tag or role or one of whose ids / classes names a
+boilerplate part (the whole name, or its first part: ``share-buttons``; not ``with-sidebar``), and branches that are low: the element and all below it are on at least ``pages_least``
 pages of the host and of an importance below ``least``.  If a page has an ``article`` or ``main``, text
 outside it goes; inside, an inline element among text is part of its sentence and goes only with its block.
 Where the low branches are all there is to a page (one article under many urls), its text stays.
 
+A branch named as boilerplate stays if the headline or every ``article`` / ``main`` would go with it.
+
 The parser reads tags as they come: missing end tags are closed by the next block of the same kind or by
 an enclosing end tag, stray ones ignored.  Null html is an empty page.  The merged trees are a table of
 (host, node), never gathered on the driver; pages meet their host's importances by a join.
@@ -42,16 +44,17 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 UNSEEN = frozenset("script style template noscript".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BLOCK = frozenset("address article aside blockquote body center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side-bar|footer|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|comment-\w+|respond|replies|disqus|widget|toolbar|pagination|pager|legal|disclaimer|copyright|skip|search)(?:$|[\s_-])", re.I)
+#: A whole id or class, or the start of one up to a hyphen or underscore; ``site-`` and the like may stand before.
+BOILER = re.compile(r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary)[_-]|(?:post|entry|article)[_-](?!header|footer))?(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side-bar|footer|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|comment-\w+|respond|replies|disqus|widget|toolbar|pagination|pager|legal|disclaimer|copyright|skip|search)(?:[_-].*)?", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
 class Node:
-    __slots__ = ("tag", "path", "kids", "texts", "parent", "bad", "main")
+    __slots__ = ("tag", "path", "kids", "texts", "parent", "bad", "named", "main")
 
     def __init__(self, tag, path, parent, bad=False, main=False):
         self.tag, self.path, self.parent, self.bad, self.main = tag, path, parent, bad, main
-        self.kids, self.texts = [], []
+        self.kids, self.texts, self.named = [], [], False
 
 
 def parse(page: str) -> Node:
@@ -91,20 +94,21 @@ def parse(page: str) -> Node:
                     break
                 up = up.parent
         raw = m[4]
-        name, bad = tag, tag in DROP
+        name, bad, named = tag, tag in DROP, False
         main = tag == "main" or tag == "article"
         if raw and "=" in raw:
             attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(raw)}
             marks = " ".join(x for x in (attrs.get("id"), attrs.get("class")) if x)
             if marks:
                 name = f"{tag}.{marks}".replace("/", "|")
-                bad = bad or bool(BOILER.search(marks)) and tag not in ("html", "body", "article", "main")
+                named = tag not in ("html", "body", "article", "main") and any(map(BOILER.fullmatch, marks.split()))
             role = attrs.get("role", "")
             bad = bad or role in ROLES
             main = main or role == "main"
         if raw and (" hidden" in raw.lower() or "display:none" in raw.replace(" ", "").lower()) and re.search(r"(?:\s|^)hidden(?:\s|=|$)|display\s*:\s*none", raw, re.I):
             bad = True
         new = Node(tag, f"{node.path}/{name}", node, bad, main)
+        new.named = named
         node.kids.append(new)
         if tag in RAW and not raw.endswith("/"):
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -116,6 +120,70 @@ def parse(page: str) -> Node:
     return root
 
 
+def mark_named(root: Node) -> None:
+    """Branches with a telling name are bad, unless they hold the headline or all there is of ``article`` / ``main``."""
+    nodes = list(_walk(root))
+    if not any(x.named for x in nodes):
+        return
+    mains = [x for x in nodes if x.main]
+    for x in mains or [root]:
+        _spare(_headline(x), x)
+    for x in [root, *(x for x in mains if x.tag != "article")]:
+        inner = [y for y in _walk(x) if y.main and y is not x]
+        if all(_named(y, x) for y in inner) and (x is root or not _text(x)):
+            for y in inner:
+                _spare(y, x)
+    for x in nodes:
+        x.bad = x.bad or x.named
+
+
+def _headline(top: Node) -> Node | None:
+    """The first ``h1``, those outside named branches first; without one, an ``h2`` ahead of the paragraphs of an article."""
+    heads = [x for x in _walk(top) if x.tag == "h1"]
+    if not heads and top.tag == "article":
+        heads = [x for x in _walk(top) if x.tag in ("h2", "p")][:1]
+        heads = [x for x in heads if x.tag == "h2"]
+    return next((x for x in heads if not _named(x, top)), heads[0] if heads else None)
+
+
+def _text(top: Node) -> bool:
+    """Whether there is text outside named and dropped branches."""
+    stack = [top]
+    while stack:
+        x = stack.pop()
+        for k in x.kids:
+            if isinstance(k, str):
+                if k.strip():
+                    return True
+            elif not (k.named or k.bad):
+                stack.append(k)
+    return False
+
+
+def _named(node: Node, top: Node) -> bool:
+    """Whether ``node`` stands in a named branch below ``top``."""
+    while node is not top:
+        if node.named:
+            return True
+        node = node.parent
+    return False
+
+
+def _spare(node: Node | None, top: Node) -> None:
+    while node is not None and node is not top:
+        node.named = False
+        node = node.parent
+
+
+def _walk(node: Node) -> Iterator[Node]:
+    """The nodes of a branch in order."""
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack += [k for k in reversed(x.kids) if isinstance(k, Node)]
+
+
 def mark_headers(node: Node) -> None:
     """A header goes too, but inside an article one that carries the headline stays."""
     stack = [(node, False)]
@@ -213,6 +281,7 @@ def importances(pages: DataFrame, scratch: Scratch, damping: float, least: float
 def main_text(page: str, low: frozenset[int]) -> str:
     """The kept blocks of a page joined by one space; ``low``: nodes of low branches on its host."""
     root = parse(page)
+    mark_named(root)
     mark_headers(root)
     tops = _mains(root) or [root]
     return " ".join(_blocks(tops, low) or low and _blocks(tops, frozenset()) or [])

@@ -319,3 +319,18 @@ def test_extract_judges_inside_articles(spark):
 
 def test_extract_keeps_one_article_under_many_urls(spark):
     assert set(site(spark, lambda i: "<article><h1>Title</h1><p>Story</p></article>").values()) == {"Title Story"}
+
+
+@pytest.mark.parametrize("body,text", [
+    ("<div class='layout with-sidebar'><article><p>text</article><div class=sidebar>no</div></div>", "text"),
+    ("<div class='layout no-sidebar'><p>text</p></div>", "text"),
+    ("<div class='layout left-sidebar'><article><p>text</article></div>", "text"),
+    ("<main><div class='sidebar-layout'><article><p>text</article></div></main>", "text"),
+    ("<article><div class='article-header'><h1>Head</h1></div><p>text</article>", "Head text"),
+    ("<article><div class='header'><h2>Head</h2></div><p>text<div class='related'><h2>no</h2></div></article>", "Head text"),
+    ("<div class='banner-top'><h1>Head</h1></div><p>text", "Head text"),
+    ("<article><p>text<div class='share-buttons'>no</div><div id=site-footer>no</div><div class='post-share x'>no</div></article>", "text"),
+    ("<main><article><p>text</article><div id=comments><article><h2>no</h2></article></div></main>", "text"),
+])
+def test_names_of_parts(body, text):
+    assert styletree.main_text(PAGE.replace("{}", body), frozenset()) == text
