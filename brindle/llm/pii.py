@@ -23,7 +23,7 @@ MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Господ
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Г-жа", "Госпожа", "Κυρία")
 EITHER = ("Dr", "Prof")
 _O = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-#: Kind -> pattern; where two match at one place, the first holds.
+#: Kind -> pattern; where two match at one place, the first holds.  What follows a colon tells patterns of a kind apart.
 PATTERNS = {
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token)\b[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_~.\-]{6,}",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
@@ -31,6 +31,7 @@ PATTERNS = {
     "keyid": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "ip": rf"(?<![0-9.]){_O}\.{_O}\.{_O}\.{_O}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
+    "card:grouped": r"(?<![0-9A-Za-z])(?:[2-6][0-9]{3}(?:(?: [0-9]{4}){3}(?: [0-9]{3})?|(?:-[0-9]{4}){3}(?:-[0-9]{3})?)|3[0-9]{3}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{4,5})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.])\+[0-9]{9,14}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.\-])[3-6](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
     "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
@@ -54,7 +55,7 @@ def entities(text: Column) -> Column:
 def kind_of(entity: Column) -> Column:
     out = F
     for i, (kind, pattern) in enumerate(PATTERNS.items()):
-        out = out.when(entity.rlike(f"^(?:{pattern})$"), kind)
+        out = out.when(entity.rlike(f"^(?:{pattern})$"), kind.split(":")[0])
     return out.otherwise("other")
 
 

@@ -259,6 +259,18 @@ def test_surrogates_stay_distinct(spark):
     assert not {x[1] for x in got} & {f"10.{i // 200}.{i % 200}.1" for i in range(300)}
 
 
+def test_surrogates_of_grouped_cards(spark):
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "2221 0000 0000 0009", "3782 822463 10005", "3782-822463-10005"]
+    texts = [f"pay by {c}, thanks" for c in cards] + ["call 415-555-2671 415-555-2672 or 4930 1234 5678"]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts), key="k").collect()}
+    digits = ["".join(filter(str.isdigit, got[i].text)) for i in range(6)]
+    assert all(got[i].kinds == ["card"] for i in range(6)) and digits[0] == digits[1] == digits[2] and digits[4] == digits[5]
+    assert [len(d) for d in digits] == [16, 16, 16, 16, 15, 15]
+    assert digits[0][4:] != "1" * 12 and digits[0][12:] != "1111" and digits[3][12:] != "0009"
+    assert [got[i].text.translate(dict.fromkeys(map(ord, "0123456789"), "#")) for i in (0, 1)] == ["pay by #### #### #### ####, thanks", "pay by ####-####-####-####, thanks"]
+    assert got[6].kinds == ["phone"] * 3
+
+
 # ---- languages -----------------------------------------------------------------------------------
 
 
