@@ -8,7 +8,9 @@ white-space-delimited word is encoded on its own and the doc's figures are sums
 * ``entropy``: Shannon entropy in bits of the doc's token distribution, over that of as many
   different tokens (or of the whole vocabulary, where that is less).
 
-A document is rejected when its base rules fail or when a figure leaves the band of its script.
+A document is rejected when its base rules fail or when a figure leaves the band of its script, or that of
+its language where ``fit_bands`` found one: fitted on a bounded sample of labelled documents, drawn by a
+hash of the id per language and label, so that bad ones leave it and at most ``loss`` of the clean ones do.
 Null and empty texts have no words and fail the base rule.  Nothing is shared between rows: ties,
 repeated rows and the order of rows do not matter, and every text is read whole.
 """
@@ -20,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._text import WS, U, Words, mix, text_chunks
@@ -150,6 +152,7 @@ def measure(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             points = continued[w.end] - continued[w.start]
             chars = np.bincount(w.doc, weights=points, minlength=n_docs).astype(np.int64)
             lines = [[x for x in t.split(b"\n") if x.strip(WS)] for t in texts]
+            extra = [batch.column(k).slice(lo, n_docs) for k in range(2, batch.num_columns)]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(lo, n_docs),
@@ -163,21 +166,74 @@ def measure(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                     pa.array(n_byte / np.maximum(n_tokens, 1)),
                     pa.array(entropy / most),
                     pa.array(_scripts(w.bytes, w.offs), pa.string()),
+                    *extra,
                 ],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "entropy", "script"],
+                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "entropy", "script", *batch.schema.names[2:]],
             )
 
 
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, entropy double, script string"
 
 
-def quality(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", bands: dict | None = None) -> DataFrame:
-    """One row per input row: counts, fertility figures, ``base_failed`` and ``kept``.  No shuffle."""
-    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda it: measure(it, vocabulary), SCHEMA)
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _inside(band: tuple) -> Column:
+    (least, most), byte, (low, high) = band
+    return F.col("chars_per_token").between(least, most) & (F.col("byte_share") <= byte) & F.col("entropy").between(low, high)
+
+
+def band_of(clean: np.ndarray, bad: np.ndarray, loss: float) -> tuple | None:
+    """The band that most rows of ``bad`` leave and at most the share ``loss`` of ``clean``; rows are (chars per token, byte share, relative entropy)."""
+    if min(len(clean), len(bad)) < 20:
+        return None
+    ends = [[-np.inf, np.inf] for _ in range(3)]
+    left, clean, bad = int(loss * len(clean)), clean.copy(), bad.copy()
+    while True:
+        best = (0, 0)
+        for k in range(3):
+            for side in (0, 1) if k != 1 else (1,):
+                sign = 1 if side == 0 else -1
+                c, b = np.sort(sign * clean[:, k]), np.sort(sign * bad[:, k])
+                if not len(b) or left >= len(c):
+                    continue
+                gone = np.arange(left + 1)  # clean rows given up
+                net = np.searchsorted(b, c[gone]) / len(b) - gone / len(c)
+                at = int(net.argmax())
+                # at least a twentieth of the bad ones left, and more than of the clean ones
+                if net[at] > 0.05 and net[at] > best[0]:
+                    best = (net[at], k, side, sign * c[at])
+        if not best[0]:
+            return tuple(ends[0]), ends[1][1], tuple(ends[2])
+        _, k, side, edge = best
+        ends[k][side] = float(edge)
+        ok = lambda x: (x[:, k] >= edge) if side == 0 else (x[:, k] <= edge)  # noqa: B023, E731
+        left -= int((~ok(clean)).sum())
+        clean, bad = clean[ok(clean)], bad[ok(bad)]
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, vocabulary: str, *, per_label: int = 500, loss: float = 0.02) -> dict:
+    """Language -> band, from about ``per_label`` documents of each language and ``quality`` (0 or 1) that pass the base rules."""
+    lab = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality").join(docs.where(F.col("lang").isNotNull()).select("doc_id", "lang"), "doc_id")
+    counts = lab.groupBy("lang", "quality").count()
+    some = lab.join(F.broadcast(counts), ["lang", "quality"]).where(F.expr(f"pmod(xxhash64(doc_id, 29), 1000000) < {per_label} * 1000000 / count"))
+    some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(some.select("doc_id", "lang", "quality")), "doc_id")
+    rows = some.select("doc_id", "text", "lang", F.col("quality").cast("int").alias("quality")).mapInArrow(lambda it: measure(it, vocabulary), SCHEMA + ", lang string, quality int")
+    got = rows.where(~_failed()).select("lang", "quality", "chars_per_token", "byte_share", "entropy").toArrow()
+    lang, label = np.array(got.column(0).to_pylist(), dtype=object), np.array(got.column(1).to_pylist())
+    x = np.array([got.column(k).to_pylist() for k in (2, 3, 4)]).T
+    found = {one: band_of(x[(lang == one) & (label == 1)], x[(lang == one) & (label == 0)], loss) for one in sorted(set(lang.tolist()))}
+    return {one: band for one, band in found.items() if band}
+
+
+def quality(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", bands: dict | None = None, by_lang: dict | None = None, lang_col: str = "lang") -> DataFrame:
+    """One row per input row: counts, fertility figures, ``base_failed`` and ``kept``.  No shuffle.  ``by_lang``: bands of ``fit_bands``."""
+    more = [F.col(lang_col).cast("string").alias("lang")] if by_lang else []
+    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(lambda it: measure(it, vocabulary), SCHEMA + (", lang string" if by_lang else ""))
     inside = F.lit(False)
-    for script, ((least, most), byte, (low, high)) in (bands or BANDS).items():
-        inside = inside | (
-            (F.col("script") == script) & F.col("chars_per_token").between(least, most) & (F.col("byte_share") <= byte) & F.col("entropy").between(low, high)
-        )
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & inside)
+    for script, band in (bands or BANDS).items():
+        inside = inside | ((F.col("script") == script) & _inside(band))
+    for lang, band in (by_lang or {}).items():
+        inside = inside & (~F.col("lang").eqNullSafe(lang) | _inside(band))
+    return out.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("lang")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,17 @@ def tokenizer(name: str) -> str:
     return str(Path(TOKENIZERS, name))
 
 
+def quality_bands(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
+    """Bands fitted on the folder's labels; none where it has no labels."""
+    try:
+        labels = read(spark, sf_dir, "labels")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return quality.fit_bands(docs, labels, tokenizer("piece_bpe_32k.model"))
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,7 +68,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    docs = read(spark, sf_dir, "documents")
+    return quality.quality(docs, tokenizer("piece_bpe_32k.model"), by_lang=quality_bands(spark, docs, sf_dir))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

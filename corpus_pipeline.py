@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import lines, near, packing, pii, quality
 from brindle.llm._spark import Scratch
-from brindle.llm.queries import SECRET, tokenizer, tune
+from brindle.llm.queries import SECRET, quality_bands, tokenizer, tune
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,7 +21,7 @@ def _with_text(docs: DataFrame, new: DataFrame) -> DataFrame:
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     tune(spark)
-    verdict = quality.quality(docs, tokenizer("piece_bpe_32k.model")).where("kept").select("doc_id")
+    verdict = quality.quality(docs, tokenizer("piece_bpe_32k.model"), by_lang=quality_bands(spark, docs, sf_dir)).where("kept").select("doc_id")
     verdict = Scratch(spark).table(verdict, "kept")
     return docs.select(*COLUMNS).join(verdict, "doc_id", "left_semi")
 

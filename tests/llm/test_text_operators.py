@@ -150,6 +150,20 @@ def test_quality_rejects_byte_soup(spark):
     assert got[0].byte_share > 0.9 and got[1].byte_share == 0
 
 
+def test_quality_bands_follow_labels(spark):
+    rng = random.Random(4)
+    prose = lambda: " ".join(rng.choice("walking reading houses rivers fields tables clouds stones before under".split()) + rng.choice("aeiou") for _ in range(120))
+    soup = lambda: " ".join(x + rng.choice(["%%%", "&&&", "$$$"]) for x in prose().split())
+    rows = [(i, soup() if i % 3 == 0 else prose(), "aa", 0 if i % 3 == 0 else 1) for i in range(150)] + [(200, soup(), "bb", 0), (201, soup(), None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, quality int")
+    path = tokenizer("piece_bpe_32k.model")
+    bands = quality.fit_bands(df.where("doc_id < 100 or doc_id > 199"), df.select("doc_id", "quality"), path)
+    assert list(bands) == ["aa"]
+    held = {r.doc_id: r.kept for r in quality.quality(df, path, by_lang=bands).where("doc_id >= 100 and not base_failed").collect()}
+    assert not any(k for i, k in held.items() if i < 200 and i % 3 == 0) and held[200] and held[201]
+    assert sum(not k for i, k in held.items() if i < 200 and i % 3) <= 2
+
+
 # ---- vectors -------------------------------------------------------------------------------------
 
 
