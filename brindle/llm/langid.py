@@ -6,8 +6,8 @@ is covered by the longest known n-grams (with the word's edges marked), falling
 The language with the largest sum wins (ties: the first in alphabetical order).
 
 The model is fitted on labelled rows; the driver holds only the model, whose size is bounded by
-``words`` and ``grams`` entries per language and length.  ``fit_rows`` bounds the labelled sample, drawn
-by a hash of the id.  Null texts and texts without letters are ``und`` with score 0.
+``words`` and ``grams`` entries per language and length.  ``fit_rows`` bounds the labelled sample, dealt
+evenly to the languages and drawn by a hash of the id; a language with fewer rows is taken whole.  Null texts and texts without letters are ``und`` with score 0.
 """
 
 from __future__ import annotations
@@ -116,11 +116,13 @@ class Model:
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 4000, words: int = 20_000, grams: int = 10_000) -> Model:
-    """Fit on about ``fit_rows`` rows with a language and a text, drawn by hash; all of them if there are fewer."""
+    """Fit on about ``fit_rows`` rows with a language and a text, as many of each language (50 at least), drawn by hash; all rows of a language that has fewer."""
     some = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    total = labelled.where(F.col(lang_col).isNotNull()).select(lang_col).count()
-    if total > fit_rows:
-        some = some.where(F.expr(f"pmod(xxhash64(id, 23), 1000000) < {math.ceil(fit_rows / total * 1_000_000)}"))
+    counts = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("rows"))
+    each = counts.agg(F.count("*"), F.sum("rows")).head()
+    if (each[1] or 0) > fit_rows:
+        most = max(50, math.ceil(fit_rows / each[0]))
+        some = some.join(F.broadcast(counts), "lang").where(F.expr(f"pmod(xxhash64(id, 23), 1000000) < {most} * 1000000 / rows"))
     units = some.select("text", "lang").mapInArrow(_counts, "lang string, n int, unit string, c bigint").groupBy("lang", "n", "unit").agg(F.sum("c").alias("c"))
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "unit"))
     kept = units.withColumn("r", rank).where(F.col("r") <= F.when(F.col("n") == 0, words).otherwise(grams)).select("lang", "n", "unit", "c").toArrow()

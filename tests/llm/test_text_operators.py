@@ -298,6 +298,14 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and got[2].score == 0
 
 
+def test_language_id_learns_rare_languages(spark):
+    rows = [(i, "taro mino sela", "aa") for i in range(3000)] + [(5000, "krst vlzn prht", "bb"), (5001, "krst prht", "bb")] + [(6000 + k, f"w{x} only", x * 2) for k, x in enumerate("cdefgh")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), fit_rows=100)
+    assert model.langs == ["aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(frame(spark, ["taro mino", "vlzn krst"]), model).collect()}
+    assert got == {0: "aa", 1: "bb"}
+
+
 # ---- pages ---------------------------------------------------------------------------------------
 
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href='/a'>home</a></ul></nav><!-- x --><div class=\"ad\">buy</div>{}<footer>&copy; me</footer></body></html>"
