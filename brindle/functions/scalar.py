@@ -23,8 +23,11 @@ def ne_missing(a: Column, b: Column) -> Column:
 
 
 def floor_div(a: Column, b: Column) -> Column:
-    """Division rounded down; null by zero."""
-    return F.when(b != 0, F.floor(a / b))
+    """Division rounded down; null by zero.  Exact for whole numbers of any size."""
+    whole = [F.typeof(x).isin("tinyint", "smallint", "int", "bigint") for x in (a, b)]
+    x, y = a.cast("decimal(38,0)"), b.cast("decimal(38,0)")
+    exact = F.call_function("div", x, y) - F.when((x % y != 0) & ((x < 0) != (y < 0)), 1).otherwise(0)
+    return F.when(b != 0, F.when(whole[0] & whole[1], exact).otherwise(F.floor(a / b)))
 
 
 def modulo(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +25,10 @@ class CacheMode(enum.Enum):
     REBUILD = "rebuild"
 
     @classmethod
-    def of(cls, mode: CacheMode | str) -> CacheMode:
+    def of(cls, mode: CacheMode | str | int) -> CacheMode:
+        """From a name in any case, or a place in the order above, from 1."""
         try:
-            return mode if isinstance(mode, cls) else cls(str(mode).lower())
+            return mode if isinstance(mode, cls) else list(cls)[range(1, 4).index(mode)] if isinstance(mode, int) else cls(str(mode).lower())
         except ValueError:
             raise ValueError(f"cache_mode must be one of {[m.value for m in cls]}") from None
 
@@ -85,6 +86,8 @@ def cache(frame: DataFrame | PushFrame, store: dict | None = None, *, order_by:
     return PushFrame(build, "cache", shape=base)
 
 
+#: The period of rows with a null date.
+UNKNOWN = "unknown"
 UNITS = {"daily": ("$year", "$month", "$day"), "monthly": ("$year", "$month"), "yearly": ("$year",)}
 FORMATS = {"daily": "yyyy-MM-dd", "monthly": "yyyy-MM", "yearly": "yyyy"}
 
@@ -126,10 +129,12 @@ class ParquetCache:
     """Periods of an upstream as Parquet directories with a manifest.
 
     The manifest names the periods that are complete, empty ones included; it is replaced after the data
-    are written, so a failed write leaves the cache as it was.
+    are written, so a failed write leaves the cache as it was.  Rows with a null date are a period of their
+    own, ``unknown``.  A manifest written with another unit, column, bounding, schema or ``version`` (the
+    caller's name for the state of the upstream) answers nothing: its periods are written anew.
     """
 
-    def __init__(self, upstream: DataFrame | PushFrame | Callable[[], DataFrame], path: str, date_column: str, *, time_unit: str = "monthly", partition_format: str | None = None, cache_mode: CacheMode | str = "cache", bounding: str | None = None, extra_partition_cols: Sequence[str] = (), schema: T.StructType | None = None):
+    def __init__(self, upstream: DataFrame | PushFrame | Callable[[], DataFrame], path: str, date_column: str, *, time_unit: str = "monthly", partition_format: str | None = None, cache_mode: CacheMode | str = "cache", bounding: str | None = None, extra_partition_cols: Sequence[str] = (), schema: T.StructType | None = None, version: str | None = None):
         if time_unit not in UNITS:
             raise ValueError(f"time_unit must be one of {list(UNITS)}")
         if partition_format is not None:
@@ -137,7 +142,7 @@ class ParquetCache:
             if used != set(UNITS[time_unit]):
                 raise ValueError(f"partition_format must use exactly {UNITS[time_unit]}")
         self.upstream, self.path, self.column, self.unit = upstream, path.rstrip("/"), date_column, time_unit
-        self.mode, self.bounding, self.extra, self._schema = CacheMode.of(cache_mode), bounding, list(extra_partition_cols), schema
+        self.mode, self.bounding, self.extra, self._schema, self.version = CacheMode.of(cache_mode), bounding, list(extra_partition_cols), schema, version
         self.queried: list[list[str] | None] = []
 
     def _up(self) -> DataFrame | PushFrame:
@@ -147,7 +152,18 @@ class ParquetCache:
 
     def manifest(self, spark) -> dict:
         text = read_text(spark, f"{self.path}/_manifest.json")
-        return json.loads(text) if text else {"periods": [], "unit": self.unit, "column": self.column}
+        return json.loads(text) if text else {"periods": []}
+
+    def _identity(self, schema: T.StructType) -> dict:
+        return {"unit": self.unit, "column": self.column, "bounding": self.bounding, "schema": schema.simpleString(), "version": self.version}
+
+    def _known(self, spark, schema: T.StructType) -> set[str]:
+        """The complete periods of a manifest that is this cache's."""
+        have = self.manifest(spark)
+        return set(have["periods"]) if {k: v for k, v in have.items() if k != "periods"} == self._identity(schema) else set()
+
+    def _period(self) -> Column:
+        return F.coalesce(F.date_format(F.col(f"`{self.column}`"), FORMATS[self.unit]), F.lit(UNKNOWN))
 
     def frame(self, spark) -> PushFrame:
         shape = spark.createDataFrame([], self._schema) if self._schema is not None else plain(self._up()).limit(0)
@@ -155,18 +171,18 @@ class ParquetCache:
         def build(r: Request) -> DataFrame:
             if self.mode is CacheMode.IGNORE or is_naive():
                 return narrowed(self._up(), None if r.predicate is None else P.to_column(r.predicate))
-            known = set(self.manifest(spark)["periods"])
+            known = self._known(spark, shape.schema)
             wanted = periods_in(r.predicate, self.column, self.unit)
             if wanted is None:  # open range: what upstream has in it
                 span = P.interval_filter(P.ranges(r.predicate, self.column), self.column)
                 df = narrowed(self._up(), span)
-                wanted = sorted(x.p for x in df.select(F.date_format(F.col(self.column), FORMATS[self.unit]).alias("p")).where("p is not null").distinct().collect())
+                wanted = sorted(x.p for x in df.select(self._period().alias("p")).distinct().collect())
             missing = [p for p in wanted if p not in known or self.mode is CacheMode.REBUILD]
             if missing:
-                self._write(spark, missing, known)
+                self._write(spark, shape.schema, missing, known)
             if not wanted:
                 return shape
-            df = spark.read.schema(shape.schema.add("_period", "string")).option("basePath", self.path).parquet(*[p for p in (f"{self.path}/_period={x}" for x in wanted) if exists(spark, p)] or [self._empty(spark, shape)])
+            df = spark.read.schema(T.StructType([*shape.schema, T.StructField("_period", T.StringType())])).option("basePath", self.path).parquet(*[p for p in (f"{self.path}/_period={x}" for x in wanted) if exists(spark, p)] or [self._empty(spark, shape)])
             return df.drop("_period")
 
         return PushFrame(build, "parquet_cache", shape=shape)
@@ -177,24 +193,27 @@ class ParquetCache:
             shape.write.mode("overwrite").parquet(path)
         return path
 
-    def _write(self, spark, missing: list[str], known: set[str]) -> None:
+    def _write(self, spark, schema: T.StructType, missing: list[str], known: set[str]) -> None:
         """Whole missing periods, not the caller's filter; neighbouring ones are one range."""
         self.queried.append(list(missing))
         spans: list[list] = []
-        for start, end in sorted(period_bounds(p, self.unit) for p in missing):
+        for start, end in sorted(period_bounds(p, self.unit) for p in missing if p != UNKNOWN):
             if spans and spans[-1][1] == start:
                 spans[-1][1] = end
             else:
                 spans.append([start, end])
-        keep = reduce(lambda a, b: a | b, [(F.col(self.column) >= F.lit(a)) & (F.col(self.column) < F.lit(b)) for a, b in spans])
+        when = F.col(f"`{self.column}`")
+        keep = reduce(lambda a, b: a | b, [*([when.isNull()] if UNKNOWN in missing else []), *((when >= F.lit(a)) & (when < F.lit(b)) for a, b in spans)])
         if self.bounding:
             keep = keep & F.expr(self.bounding)
         df = narrowed(self._up(), keep)
         for p in missing:
             delete(spark, f"{self.path}/_period={p}")
-        df = df.withColumn("_period", F.date_format(F.col(self.column), FORMATS[self.unit]))
-        df.repartition("_period", *self.extra).write.mode("append").partitionBy("_period").parquet(self.path)
-        write_text(spark, f"{self.path}/_manifest.json", json.dumps({"periods": sorted(known | set(missing)), "unit": self.unit, "column": self.column, "bounding": self.bounding}))
+        df = df.withColumn("_period", self._period())
+        # several tasks share a large period, however few dates it has; most files hold one period
+        df = df.repartitionByRange("_period", *(f"`{c}`" for c in self.extra), when, F.xxhash64(*(F.col(f"`{c}`") for c in schema.names)))
+        df.write.mode("append").partitionBy("_period").parquet(self.path)
+        write_text(spark, f"{self.path}/_manifest.json", json.dumps({"periods": sorted(known | set(missing)), **self._identity(schema)}))
 
 
 def cache_parquet(upstream, path: str, date_column: str, *, spark=None, **options) -> PushFrame:

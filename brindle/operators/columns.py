@@ -54,9 +54,13 @@ def references(column: Column) -> set[str]:
     return found
 
 
-def iter_rows(frame: DataFrame | PushFrame, *, named: bool = False) -> Iterator:
-    """Rows as tuples or dicts, one partition ahead at a time."""
-    for row in plain(frame).toLocalIterator(prefetchPartitions=True):
+def iter_rows(frame: DataFrame | PushFrame, *, named: bool = False, buffer_size: int = 512, maintain_order: bool = True) -> Iterator:
+    """Rows as tuples or dicts, in the frame's order.
+
+    They arrive by partition, one ahead of what is read unless ``buffer_size`` is 0.  ``maintain_order`` is part of the
+    interface only: partitions are read one after the other, which costs nothing more.
+    """
+    for row in plain(frame).toLocalIterator(prefetchPartitions=buffer_size > 0):
         yield row.asDict() if named else tuple(row)
 
 

@@ -114,7 +114,7 @@ def concat_named(frames: Mapping, identifier_cols: str | Sequence[str], *, casts
     def build(r: Request) -> DataFrame:
         parts = []
         for key, frame in keyed.items():
-            possible = r.predicate is None or casts or is_naive() or _possible(r.predicate, dict(zip(ids, key)))
+            possible = r.predicate is None or casts or is_naive() or P.possible(r.predicate, dict(zip(ids, key)))
             rest = P.restrict(r.predicate, [c for c in frame.columns if c not in ids])
             df = narrowed(frame, None if rest is None else P.to_column(rest))
             df = df.select(*(tag(v, n) for n, v in zip(ids, key)), *(F.col(f"`{c}`") for c in df.columns if c not in ids))
@@ -127,27 +127,6 @@ def concat_named(frames: Mapping, identifier_cols: str | Sequence[str], *, casts
     return PushFrame(build, "concat_named")
 
 
-def _possible(p: P.Predicate, known: dict) -> bool:
-    """Whether a row with these identifiers may satisfy ``p``."""
-    if isinstance(p, P.Node):
-        got = [_possible(x, known) for x in p.parts]
-        return all(got) if p.kind == "and" else any(got)
-    if p.op == "opaque" or p.column not in known:
-        return True
-    v = known[p.column]
-    try:
-        if p.op in ("null", "not null"):
-            return (v is None) == (p.op == "null")
-        if v is None:
-            return False
-        if p.op in ("in", "not in"):
-            return (v in p.values) == (p.op == "in")
-        w = p.values[0]
-        return {"=": v == w, "!=": v != w, "<": v < w, "<=": v <= w, ">": v > w, ">=": v >= w}[p.op]
-    except TypeError:
-        return True
-
-
 def ts_with_columns(frame: Frame, exprs: Mapping[str, Column] | Callable[[DataFrame], DataFrame], index_col: str, *, linked_cols: Sequence[str] = (), lookback: dt.timedelta | None = None, lookahead: dt.timedelta | None = None) -> PushFrame:
     """Columns computed over the filtered time range, widened by lookback and lookahead; then the filter.
 

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import predicate as P
-from ..plans.frame import PushFrame, Request, is_naive, narrowed, plain
+from ..plans.frame import PushFrame, Request, is_naive, narrowed, plain, size_of
 
 Frame = DataFrame | PushFrame
 #: Distinct key values up to which a harvested list is pushed; beyond, a range and a semi join.
 HARVEST = 10_000
+#: Estimated bytes below which a right DataFrame is read whole: a harvest would cost more than it saves.
+LEAST = 64 << 20
+#: Distinct right times up to which a join in time without keys looks them up in one array.
+LOOKUP = 1_000
 
 
 def join_keys(on, left_on, right_on) -> tuple[list[str], list[str]]:
@@ -39,12 +43,14 @@ def _output(left_cols: list[str], right_cols: list[str], keys: list[str], suffix
     return {c: f"{c}{suffix}" if c in left_cols else c for c in right_cols if c not in keys}
 
 
-def filtered_join(left: Frame, right: Frame, on=None, how: str = "inner", *, left_on=None, right_on=None, nulls_equal: bool = False, suffix: str = "_right", harvest: int = HARVEST) -> PushFrame:
+def filtered_join(left: Frame, right: Frame, on=None, how: str = "inner", *, left_on=None, right_on=None, nulls_equal: bool = False, suffix: str = "_right", harvest: int = HARVEST, least: int = LEAST) -> PushFrame:
     """Join whose right side is read only for the keys the filtered left side holds.
 
-    The distinct keys of each key column are harvested from the left side (under that part of the filter
-    that concerns it).  Up to ``harvest`` values they become an ``IN`` filter that reaches the right
-    scan; beyond, a range filter and a semi join.  An empty left side leaves the right unread.
+    The distinct keys are harvested from the left side (under that part of the filter that concerns it) in
+    one pass for all key columns.  Up to ``harvest`` of them they become an ``IN`` filter per column that
+    reaches the right scan; beyond, a range filter and a semi join, at the cost of a second pass.  An empty
+    left side leaves the right unread.  A right DataFrame of less than ``least`` estimated bytes is read
+    whole; other frames (databases, caches, ...) never are.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
@@ -59,7 +65,7 @@ def filtered_join(left: Frame, right: Frame, on=None, how: str = "inner", *, lef
         a = narrowed(left, None if mine is None else P.to_column(mine), need)
         wanted = list(names) if r.columns is None else [c for c in names if names[c] in r.columns]
         cond = None
-        if not is_naive():
+        if not is_naive() and (isinstance(right, PushFrame) or size_of(right) >= least):
             cond, exact = _harvested(a, lk, rk, harvest)
         b = narrowed(right, cond, (*rk, *wanted))
         if cond is not None and not exact:
@@ -74,65 +80,153 @@ def filtered_join(left: Frame, right: Frame, on=None, how: str = "inner", *, lef
 
 def _harvested(a: DataFrame, lk: list[str], rk: list[str], limit: int) -> tuple[Column, bool]:
     """A filter on the right keys, one column at a time (a superset for several), and whether lists sufficed."""
-    out, exact = F.lit(True), True
-    for x, y in zip(lk, rk):
-        keys = a.select(F.col(f"`{x}`").alias("k")).where("k is not null").distinct()
-        got = [r.k for r in keys.limit(limit + 1).collect()]
-        if len(got) <= limit:
-            out = out & (F.col(f"`{y}`").isin(got) if got else F.lit(False))
-        else:
-            low, high = keys.agg(F.min("k"), F.max("k")).head()
-            out, exact = out & F.col(f"`{y}`").between(low, high), False
-    return out, exact
-
-
-def _asof(a: DataFrame, b: DataFrame, lt: str, rt: str, by_left: list[str], by_right: list[str], strategy: str, tolerance, right_cols: dict[str, str], keep_time: str | None, bucket: dt.timedelta | None = None) -> DataFrame:
-    """Union of both sides in time order; the last (first) right row seen so far is the match.
+    names = [f"k{i}" for i in range(len(lk))]
+    keys = a.select(*(F.col(f"`{x}`").alias(k) for x, k in zip(lk, names))).dropna()
+    got = keys.distinct().limit(limit + 1).collect()
+    out = F.lit(True)
+    if len(got) <= limit:
+        for y, k in zip(rk, names):
+            values = list(dict.fromkeys(r[k] for r in got))
+            out = out & (F.col(f"`{y}`").isin(values) if values else F.lit(False))
+        return out, True
+    ends = keys.agg(*(F.min(k).alias(f"{k}_low") for k in names), *(F.max(k).alias(f"{k}_high") for k in names)).head()
+    for y, k in zip(rk, names):
+        out = out & F.col(f"`{y}`").between(ends[f"{k}_low"], ends[f"{k}_high"])
+    return out, False
+
+
+def _asof(a: DataFrame, b: DataFrame, lt: str, rt: str, by_left: list[str], by_right: list[str], strategy: str, tolerance, right_cols: dict[str, str]) -> DataFrame:
+    """For each left row the right row last in time up to it (first from it on, or the nearer of the two).
 
     Rows of equal time match; among right rows of equal time the one that is largest as a struct of all
-    its columns wins.  One sort per ``by`` group and no join, whatever the match rate.
+    its columns wins; of two equally near rows the earlier.  With keys, the union of both sides is sorted
+    once per key and direction.  Without, few right times are looked up in an array (no sort, no shuffle of the
+    left side); many are cut into ranges of time that hand their last row on to the next.
     """
     kind = a.schema[lt].dataType
-    payload = F.struct(F.col(f"`{rt}`").cast(kind).alias("_t"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(right_cols)))
     by = [f"_b{i}" for i in range(len(by_left))]
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(a.columns)))
-    left = a.select(*(F.col(f"`{x}`").alias(n) for x, n in zip(by_left, by)), F.col(f"`{lt}`").alias("_t"), F.lit(1).alias("_s"), row.alias("_l"))
-    right = b.select(*(F.col(f"`{x}`").alias(n) for x, n in zip(by_right, by)), F.col(f"`{rt}`").cast(kind).alias("_t"), F.lit(0).alias("_s"), payload.alias("_p"))
+    payload = F.struct(F.col(f"`{rt}`").cast(kind).alias("_t"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(right_cols)))
+    left = a.select(*(F.col(f"`{x}`").alias(n) for x, n in zip(by_left, by)), F.col(f"`{lt}`").alias("_t"), row.alias("_l"))
+    right = b.select(*(F.col(f"`{x}`").alias(n) for x, n in zip(by_right, by)), F.col(f"`{rt}`").cast(kind).alias("_t"), payload.alias("_p"))
     right = right.where("_t is not null")
     for n in by:
         right = right.where(F.col(n).isNotNull())
-    both = left.unionByName(right, allowMissingColumns=True)
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    back = F.last("_p", True).over(group.orderBy("_t", "_s", "_p").rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.last("_p", True).over(group.orderBy(F.desc("_t"), "_s", "_p").rowsBetween(Window.unboundedPreceding, 0))
-    span = F.abs(_diff(F.col("_t"), F.col("_m._t"), kind))
-    if strategy == "backward":
-        both = both.withColumn("_m", back)
-    elif strategy == "forward":
-        both = both.withColumn("_m", ahead)
-    else:  # nearest; a tie goes to the earlier row
-        both = both.withColumn("_x", back).withColumn("_y", ahead)
+    ways = {"backward": ["_x"], "forward": ["_y"], "nearest": ["_x", "_y"]}[strategy]
+    if by or is_naive():
+        out = _by_window(left, right, by, ways)
+    else:
+        # a right side that may be large is counted first, which shuffles next to nothing
+        small = size_of(b) < LEAST or right.agg(F.approx_count_distinct("_t")).head()[0] <= LOOKUP
+        few = right.select("_t").distinct().limit(LOOKUP + 1).collect() if small else None
+        out = _by_lookup(left, right, sorted(r[0] for r in few), ways) if few is not None and len(few) <= LOOKUP else _by_ranges(left, right, ways)
+    if strategy == "nearest":
         dx, dy = F.abs(_diff(F.col("_t"), F.col("_x._t"), kind)), F.abs(_diff(F.col("_t"), F.col("_y._t"), kind))
-        both = both.withColumn("_m", F.when(F.col("_y").isNull() | (dx <= dy), F.col("_x")).otherwise(F.col("_y")))
+        m = F.when(F.col("_y").isNull() | (dx <= dy), F.col("_x")).otherwise(F.col("_y"))
+    else:
+        m = F.col(ways[0])
+    out = out.withColumn("_m", m)
     ok = F.col("_m").isNotNull() & F.col("_t").isNotNull()
     for n in by:
         ok = ok & F.col(n).isNotNull()
     if tolerance is not None:
         most = tolerance / dt.timedelta(microseconds=1) if isinstance(tolerance, dt.timedelta) else tolerance
-        ok = ok & (span <= F.lit(most))
-    match = F.when(ok, F.col("_m"))
-    out = both.where("_s = 1").withColumn("_m", match)
-    cols = [F.col(f"_l.c{i}").alias(c) for i, c in enumerate(a.columns)]
-    cols += [F.col(f"_m.c{i}").alias(n) for i, n in enumerate(right_cols.values())]
-    if keep_time:
-        cols.append(F.col("_m._t").alias(keep_time))
-    return out.select(*cols)
+        ok = ok & (F.abs(_diff(F.col("_t"), F.col("_m._t"), kind)) <= F.lit(most))
+    out = out.withColumn("_m", F.when(ok, F.col("_m")))
+    return out.select(*(F.col(f"_l.c{i}").alias(c) for i, c in enumerate(a.columns)), *(F.col(f"_m.c{i}").alias(n) for i, n in enumerate(right_cols.values())))
+
+
+def _merged(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both sides under each other; ``_s`` is 1 on the left."""
+    return left.withColumn("_s", F.lit(1)).unionByName(right.withColumn("_s", F.lit(0)), allowMissingColumns=True)
+
+
+def _seen(group, way: str) -> Column:
+    """The last right row so far, in time (``_x``) or against it (``_y``)."""
+    order = F.col("_t") if way == "_x" else F.desc("_t")
+    return F.last("_p", True).over(group.orderBy(order, "_s", "_p").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def _by_window(left: DataFrame, right: DataFrame, by: list[str], ways: list[str]) -> DataFrame:
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    out = _merged(left, right)
+    for way in ways:
+        out = out.withColumn(way, _seen(group, way))
+    return out.where("_s = 1")
+
+
+def _place(t: str, bounds: list, kind: T.DataType, below: str) -> Column:
+    """How many of the sorted ``bounds`` are ``below`` (``<`` or ``<=``) the time: a binary search."""
+    array = F.array(*(F.lit(x).cast(kind) for x in bounds))
+    steps = max(1, len(bounds).bit_length())
+    last = F.lit(len(bounds))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        goes = F.coalesce(F.get(array, mid) <= F.col(t) if below == "<=" else F.get(array, mid) < F.col(t), F.lit(False))
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & goes, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~goes, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), last.alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["lo"])
+
+
+def _by_lookup(left: DataFrame, right: DataFrame, times: list, ways: list[str]) -> DataFrame:
+    """At most ``LOOKUP`` right times: the left side looks up its place among them and gets that row by a broadcast join."""
+    kind = right.schema["_t"].dataType
+    if not times:
+        return left.withColumns({way: F.lit(None).cast(right.schema["_p"].dataType) for way in ways})
+    best = right.groupBy("_t").agg(F.max("_p").alias("_p")).withColumn("_i", _place("_t", times, kind, "<"))
+    out = left
+    for way in ways:
+        at = F.when(F.col("_t").isNotNull(), _place("_t", times, kind, "<=") - 1 if way == "_x" else _place("_t", times, kind, "<"))
+        out = out.withColumn("_at", at).join(F.broadcast(best.select(F.col("_i").alias("_at"), F.col("_p").alias(way))), "_at", "left").drop("_at")
+    return out
+
+
+def _by_ranges(left: DataFrame, right: DataFrame, ways: list[str]) -> DataFrame:
+    """Ranges of time of about equal size, sorted each on its own; what a range has not seen comes from its neighbours' last row.
+
+    The neighbours' rows are one per range, so their table is small whatever the sides hold.  A time that a large share of all rows
+    has is one range.
+    """
+    spark = left.sparkSession
+    kind = right.schema["_t"].dataType
+    both = _merged(left, right)
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    number = _micros(F.col("_t"), kind) if isinstance(kind, (T.TimestampNTZType, T.TimestampType)) else F.unix_date("_t") if isinstance(kind, T.DateType) else F.col("_t")
+    cuts = both.select(F.percentile_approx(number, [i / n for i in range(1, n)], 10 * n)).head()[0] or []
+    both = both.withColumn("_k", number)
+    both = both.withColumn("_r", F.coalesce(_place("_k", sorted(set(cuts)), both.schema["_k"].dataType, "<="), F.lit(0)) if cuts else F.lit(0))
+    group, whole = Window.partitionBy("_r"), Window.partitionBy(F.lit(0))
+    ends = right.withColumn("_k", number)
+    ends = ends.withColumn("_r", _place("_k", sorted(set(cuts)), both.schema["_k"].dataType, "<=") if cuts else F.lit(0))
+    out = both
+    for way in ways:
+        order, top = ("_r", F.max_by("_p", F.struct("_t", "_p"))) if way == "_x" else (F.desc("_r"), F.max("_p"))
+        if way == "_y":  # the earliest time, and there the largest row
+            first = ends.join(ends.groupBy("_r").agg(F.min("_t").alias("_t")), ["_r", "_t"])
+        else:
+            first = ends
+        rows = first.groupBy("_r").agg(top.alias("_e"))
+        known = spark.range(len(set(cuts)) + 1).select(F.col("id").cast("int").alias("_r")).join(rows, "_r", "left")
+        hand = known.withColumn("_h", F.last("_e", True).over(whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))).select("_r", "_h")
+        out = out.withColumn(way, _seen(group, way)).join(F.broadcast(hand), "_r", "left").withColumn(way, F.coalesce(way, "_h")).drop("_h")
+    return out.where("_s = 1")
+
+
+def _micros(x: Column, kind: T.DataType) -> Column:
+    """Microseconds of a time, by its own fields where it has no zone, so that they rise with it in every session zone."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(x)
+    second = (F.extract(F.lit("SECOND"), x) * 1_000_000).cast("bigint")
+    return F.unix_date(F.to_date(x)).cast("bigint") * 86_400_000_000 + F.hour(x) * F.lit(3_600_000_000).cast("bigint") + F.minute(x) * F.lit(60_000_000).cast("bigint") + second
 
 
 def _diff(x: Column, y: Column, kind: T.DataType) -> Column:
     """A distance: microseconds between times, days as microseconds between dates, else the difference."""
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-        return F.unix_micros(x.cast("timestamp")) - F.unix_micros(y.cast("timestamp"))
+        return _micros(x, kind) - _micros(y, kind)
     if isinstance(kind, T.DateType):
         return F.datediff(x, y).cast("bigint") * 86_400_000_000
     return x - y
@@ -173,7 +267,7 @@ def filtered_join_asof(left: Frame, right: Frame, *, on: str | None = None, left
                     c = P.interval_filter(span, rt)
                     cond = c if cond is None else cond if c is None else cond & c
         b = narrowed(right, cond, (rt, *br, *wanted))
-        return _asof(a, b, lt, rt, bl, br, strategy, tolerance, wanted, None)
+        return _asof(a, b, lt, rt, bl, br, strategy, tolerance, wanted)
 
     return PushFrame(build, "filtered_join_asof")
 
@@ -207,7 +301,7 @@ def join_between(left: Frame, right: Frame, left_on: str, right_on_start: str, r
         a = narrowed(left, None if mine is None else P.to_column(mine))
         cond = None if r.predicate is None else _by_filter(r.predicate, keys, keys)
         b = narrowed(right, cond)
-        out = _asof(a, b, left_on, right_on_start, keys, keys, "backward", None, names, None)
+        out = _asof(a, b, left_on, right_on_start, keys, keys, "backward", None, names)
         start, end = names[right_on_start], names[right_on_end]
         held = F.col(f"`{left_on}`") <= F.col(f"`{end}`")
         if how == "inner":

@@ -29,21 +29,24 @@ def disable_optimizations():
 
 @dataclass(frozen=True)
 class Request:
-    """What is asked of an operator: a predicate over its output, and the columns needed (None: all)."""
+    """What is asked of an operator: a predicate over its output, the columns needed (None: all), and how many rows do (None: all; only without a predicate)."""
 
     predicate: P.Predicate | None = None
     columns: tuple[str, ...] | None = None
+    limit: int | None = None
 
 
 class PushFrame:
     """``build(request)`` returns a DataFrame that holds at least the rows and columns asked for.
 
     The frame applies the caller's own filters, columns and limit afterwards, so results equal the plain
-    query's whatever ``build`` narrowed.
+    query's whatever ``build`` narrowed.  ``shape`` gives the schema where building the whole plan would be
+    costly; it is never read for rows.  ``bounded``: ``build`` cannot do without the predicate, so the naive
+    plan passes it on too.
     """
 
-    def __init__(self, build: Callable[[Request], DataFrame], name: str = "frame", conditions: tuple = (), wanted: tuple[str, ...] | None = None, most: int | None = None, shape: DataFrame | None = None):
-        self._build, self._name, self._conditions, self._wanted, self._most, self._shape = build, name, conditions, wanted, most, shape
+    def __init__(self, build: Callable[[Request], DataFrame], name: str = "frame", conditions: tuple = (), wanted: tuple[str, ...] | None = None, most: int | None = None, shape: DataFrame | None = None, bounded: bool = False):
+        self._build, self._name, self._conditions, self._wanted, self._most, self._shape, self._bounded = build, name, conditions, wanted, most, shape, bounded
 
     def shape(self) -> DataFrame:
         """The unfiltered plan, for its schema; analysis only."""
@@ -64,7 +67,7 @@ class PushFrame:
         return self.shape().select(*self.columns).schema
 
     def _with(self, **changes) -> PushFrame:
-        have = {"conditions": self._conditions, "wanted": self._wanted, "most": self._most, "shape": self._shape}
+        have = {"conditions": self._conditions, "wanted": self._wanted, "most": self._most, "shape": self._shape, "bounded": self._bounded}
         return PushFrame(self._build, self._name, **(have | changes))
 
     def filter(self, condition: Column | str) -> PushFrame:
@@ -88,11 +91,11 @@ class PushFrame:
         wanted = None
         if self._wanted is not None:
             wanted = tuple(dict.fromkeys([*self._wanted, *(whole.columns() if whole else ())]))
-        return Request(whole, wanted)
+        return Request(whole, wanted, None if self._conditions else self._most)
 
     def to_df(self) -> DataFrame:
         if _naive.get():
-            return self._finish(self.shape())
+            return self._finish(self._build(Request(self.request().predicate) if self._bounded else Request()))
         r = self.request()
         log.debug("%s: %s", self._name, r)
         if r.predicate is not None and P.contradictory(r.predicate):
@@ -129,5 +132,10 @@ def narrowed(frame: DataFrame | PushFrame, condition: Column | None, columns: tu
     return plain(frame)
 
 
+def size_of(df: DataFrame) -> int:
+    """Catalyst's estimate of a plan's bytes; analysis only."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def is_naive() -> bool:
     return _naive.get()

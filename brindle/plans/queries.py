@@ -70,6 +70,18 @@ def ts_linked_lookahead(spark, sf):
     return f.filter(col("day") == lit(dt.date(2024, 1, 15))).select("event_id", "day", "prev", "nxt", "rnk").to_df()
 
 
+@query("""
+WITH w AS (SELECT *, CASE WHEN event_type = 'purchase' THEN value END AS paid FROM events WHERE ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-13')
+SELECT event_id, last_paid, round(mean3, 6) AS mean3 FROM (SELECT *, last_value(paid IGNORE NULLS) OVER o AS last_paid, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) AS mean3 FROM w WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
+WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13'""")
+def ts_fill_and_roll(spark, sf):
+    o = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    paid = F.when(col("event_type") == "purchase", col("value"))
+    f = C.ts_with_columns(t(spark, sf, "events"), {"last_paid": F.last(paid, True).over(o.rowsBetween(Window.unboundedPreceding, 0)), "mean3": F.avg("value").over(o.rowsBetween(-2, 0))}, "ts", lookback=DAY)
+    f = f.filter((col("ts") >= ts("2024-01-10")) & (col("ts") < ts("2024-01-13")))
+    return f.to_df().select("event_id", "last_paid", F.round("mean3", 6).alias("mean3"))
+
+
 # ---- joins ---------------------------------------------------------------------------------------
 
 
@@ -124,6 +136,23 @@ def asof_nearest_tolerance(spark, sf):
     return f.filter((col("ts") >= ts("2024-01-05")) & (col("ts") < ts("2024-01-25"))).select("event_id", "buy_id").to_df()
 
 
+_ANY_BUY = "(SELECT ts, max(event_id) AS buy_id FROM events WHERE event_type = 'purchase' GROUP BY ts)"
+
+
+@query(f"SELECT e.event_id, b.buy_id FROM events e ASOF LEFT JOIN {_ANY_BUY} b ON e.ts >= b.ts")
+def asof_without_keys(spark, sf):
+    e = t(spark, sf, "events")
+    any_buy = e.where("event_type = 'purchase'").groupBy("ts").agg(F.max("event_id").alias("buy_id"))
+    return J.filtered_join_asof(e, any_buy, on="ts").select("event_id", "buy_id").to_df()
+
+
+@query("SELECT e.event_id, b.buyer, b.at AS bought_at FROM events e ASOF LEFT JOIN (SELECT user_id AS buyer, ts AS at FROM events WHERE event_type = 'purchase') b ON e.user_id = b.buyer AND e.ts >= b.at WHERE e.user_id < 300")
+def asof_renamed_keys(spark, sf):
+    b = _buys(spark, sf).select(col("user_id").alias("buyer"), col("ts").alias("at"), col("user_id").alias("who"))
+    f = J.filtered_join_asof(t(spark, sf, "events"), b, left_on="ts", right_on="at", by_left="user_id", by_right="buyer")
+    return f.filter("user_id < 300").select("event_id", "who", "at").to_df().withColumnsRenamed({"who": "buyer", "at": "bought_at"})
+
+
 _WINDOWS = "(SELECT * FROM (VALUES ('a', TIMESTAMP '1996-01-01', TIMESTAMP '1996-12-31'), ('b', TIMESTAMP '1996-06-01', TIMESTAMP '1996-07-15'), ('c', TIMESTAMP '1997-02-01', TIMESTAMP '1997-02-28')) AS w(period, start_at, end_at))"
 
 
@@ -480,3 +509,35 @@ def scalar_numeric_json(spark, sf):
     e = t(spark, sf, "events").select("event_id", "props")
     c = t(spark, sf, "customer").join(e, col("event_id") == col("c_custkey"))
     return c.select("c_custkey", S.BITWISE["count_ones"](col("c_custkey")).alias("ones"), F.round(f["sin"](col("c_acctbal")), 9).alias("s"), F.round(f["arctan"](col("c_acctbal")), 9).alias("a"), F.round(f["degrees"](col("c_nationkey")), 6).alias("d"), F.round(f["tanh"](col("c_nationkey")), 9).alias("th"), S.STRING["json_path_match"](col("props"), "$.k").cast("bigint").alias("k"))
+
+
+@query("""SELECT c_custkey, c_name AS nm, c_nationkey + 1 AS nk, octet_length(encode(c_name)) AS size, lower(hex(encode(c_name))) AS hx, base64(encode(c_name)) AS b64, contains(c_name, '00') AS has, starts_with(c_name, 'Cust') AS st FROM customer""")
+def scalar_structs_and_bytes(spark, sf):
+    s = F.struct(col("c_name").alias("a"), col("c_nationkey").alias("b"))
+    s = S.STRUCT["rename_fields"](S.STRUCT["with_field"](s, "b", col("c_nationkey") + 1), ["a", "b"], ["x", "y"])
+    y, f = F.encode(col("c_name"), "UTF-8"), S.BINARY
+    return t(spark, sf, "customer").select(
+        "c_custkey", S.STRUCT["field"](s, "x").alias("nm"), S.STRUCT["field"](s, "y").alias("nk"), f["size"](y).cast("bigint").alias("size"), f["hex_encode"](y).alias("hx"), f["base64_encode"](y).alias("b64"),
+        f["contains"](y, F.encode(lit("00"), "UTF-8")).alias("has"), f["starts_with"](y, F.encode(lit("Cust"), "UTF-8")).alias("st"),
+    )
+
+
+@query("""SELECT event_id, CAST(ceil(year(ts) / 100.0) AS BIGINT) AS ce, (year(ts) % 4 = 0 AND year(ts) % 100 <> 0) OR year(ts) % 400 = 0 AS leap, CAST(isoyear(ts) AS BIGINT) AS iy, second(ts) AS sec, CAST(microsecond(ts) % 1000000 AS BIGINT) AS us, strftime(ts, '%Y/%m/%d %H') AS txt,
+CAST(date_trunc('month', ts) AS DATE) AS ms, CAST(epoch_us(TIMESTAMP '2024-06-01') - epoch_us(ts) AS BIGINT) // 86400000000 AS days, CAST(ts + INTERVAL 2 MONTH AS DATE) AS later FROM events""")
+def scalar_calendar(spark, sf):
+    x, f = col("ts"), S.TEMPORAL
+    return t(spark, sf, "events").select(
+        "event_id", f["century"](x).cast("bigint").alias("ce"), f["is_leap_year"](x).alias("leap"), f["iso_year"](x).cast("bigint").alias("iy"), f["second"](x).cast("bigint").alias("sec"), f["microsecond"](x).cast("bigint").alias("us"), f["to_string"](x, "yyyy/MM/dd HH").alias("txt"),
+        f["month_start"](x).alias("ms"), f["total_days"](x, ts("2024-06-01")).cast("bigint").alias("days"), f["date"](f["offset_months"](x, 2)).alias("later"),
+    )
+
+
+@query("""SELECT p_partkey, bit_count(p_size) AS ones, 32 - bit_count(p_size) AS zeros, CAST(p_size & 12 AS INTEGER) AS a, round(cos(p_size), 9) AS c, round(sqrt(p_size) / 8, 9) AS s8, round(asin(p_size / 64), 9) AS asn, round(acos(p_size / 64), 9) AS acs, round(sinh(p_size / 10), 6) AS sh, round(radians(p_size), 9) AS r,
+p_size IN (1, 5, 9) AS isin, CAST(count(*) OVER (PARTITION BY p_type) = 1 AS BOOLEAN) AS uniq, (p_size > 10 AND p_retailprice > 1000) AS al, (p_size > 10 OR p_retailprice > 1000) AS an FROM part""")
+def scalar_bits_angles_booleans(spark, sf):
+    n, g, b = col("p_size"), S.TRIGONOMETRIC, S.BOOLEAN
+    many = [n > 10, col("p_retailprice") > 1000]
+    return t(spark, sf, "part").select(
+        "p_partkey", S.BITWISE["count_ones"](n).cast("bigint").alias("ones"), S.BITWISE["count_zeros"](n, 32).cast("bigint").alias("zeros"), n.bitwiseAND(12).alias("a"), F.round(g["cos"](n), 9).alias("c"), F.round(F.sqrt(n) / 8, 9).alias("s8"), F.round(g["arcsin"](n / 64), 9).alias("asn"),
+        F.round(g["arccos"](n / 64), 9).alias("acs"), F.round(g["sinh"](n / 10), 6).alias("sh"), F.round(g["radians"](n), 9).alias("r"), b["is_in"](n, [1, 5, 9]).alias("isin"), b["is_unique"](col("p_type")).alias("uniq"), b["all_horizontal"](*many).alias("al"), b["any_horizontal"](*many).alias("an"),
+    )

@@ -28,6 +28,14 @@ def size(spark, path: str) -> int:
     return fs.getFileStatus(p).getLen()
 
 
+def move(spark, path: str, to: str) -> None:
+    p, fs = _at(spark, path)
+    target, _ = _at(spark, to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(p, target):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
 def read_text(spark, path: str) -> str | None:
     p, fs = _at(spark, path)
     if not fs.exists(p):

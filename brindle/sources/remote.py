@@ -18,8 +18,16 @@ from ..plans import predicate as P
 from ..plans.frame import PushFrame, Request, plain
 
 
-def scan_db(spark: SparkSession, query: str, url: str, *, fetch_size: int = 10_000, **options: str) -> DataFrame:
-    """A database query over JDBC.  Spark wraps it as a subquery and pushes filters and columns; dialects are Spark's."""
+def scan_db(spark: SparkSession, query: str, url: str, *, fetch_size: int = 10_000, split: tuple[str, object, object, int] | None = None, **options: str) -> DataFrame:
+    """A database query over JDBC.  Spark wraps it as a subquery and pushes filters, columns and limits; dialects are Spark's.
+
+    ``split`` (column, low, high, tasks) reads in so many tasks by ranges of a number or time; rows outside
+    of it and nulls are read as well.
+    """
+    if split is not None:
+        column, low, high, tasks = split
+        options |= {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(tasks)}
+        return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", fetchsize=str(fetch_size), **options).load()
     return spark.read.format("jdbc").options(url=url, query=query, fetchsize=str(fetch_size), **options).load()
 
 
@@ -30,7 +38,8 @@ def wrap_query(query: str, r: Request, quote: str = '"', columns: Sequence[str]
     wanted = ", ".join(f"{quote}{c}{quote}" for c in columns) if columns else "*"
     sql = f"SELECT {wanted} FROM ({query}) AS q"
     where = P.to_sql(r.predicate, quote) if r.predicate is not None else None
-    return f"{sql} WHERE {where}" if where else sql
+    sql = f"{sql} WHERE {where}" if where else sql
+    return sql if r.limit is None or r.predicate is not None else f"{sql} LIMIT {r.limit}"
 
 
 def scan_http_sql(spark: SparkSession, query: str, transport: Callable[[str], Iterator[pa.RecordBatch]], *, quote: str = '"', schema: T.StructType | None = None) -> PushFrame:
@@ -134,7 +143,7 @@ def scan_metrics(spark: SparkSession, query: str, transport: Callable[[str, dt.d
 
         return spark.range(0, len(pieces), 1, len(pieces)).mapInArrow(fetch, spark_schema)
 
-    return PushFrame(build, "scan_metrics", shape=spark.createDataFrame([], spark_schema))
+    return PushFrame(build, "scan_metrics", shape=spark.createDataFrame([], spark_schema), bounded=True)
 
 
 def from_foreign(spark: SparkSession, obj) -> DataFrame:

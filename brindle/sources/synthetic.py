@@ -43,15 +43,45 @@ def scan_synthetic_regression(spark: SparkSession, n_samples: int, n_features: i
     return df.drop("_id")
 
 
-def scan_synthetic_panel(spark: SparkSession, start_date: dt.date, end_date: dt.date, n_symbols: int, n_features: int = 1, n_responses: int = 1, *, betas: Sequence[Sequence[float]] | None = None, categories: Sequence[str] = (), n_levels: int = 3, epsilon_scale: float = 1.0, seed: int = 0) -> DataFrame:
-    """A row per business day and symbol: symbol, date, timestamp, x0.., y0.. and decorative categories."""
+#: Steps of a panel's time: name -> rows a day (below 1: every so many days), and whether weekends are left out.
+STEPS = {"B": (1, True), "D": (1, False), "h": (24, False), "min": (1440, False)}
+
+
+def scan_synthetic_panel(
+    spark: SparkSession, start_date: dt.date, end_date: dt.date, n_symbols: int, n_features: int = 1, n_responses: int = 1, *, freq: str = "B", betas: Sequence[Sequence[float]] | None = None,
+    categories: Sequence[str] = (), n_levels: int = 3, group_by: str | None = None, group_betas: Sequence[Sequence[Sequence[float]]] | None = None, epsilon_scale: float = 1.0, seed: int = 0,
+) -> DataFrame:
+    """A row per step of time and symbol: symbol, date, timestamp, x0.., y0.. and categories of ``n_levels`` levels.
+
+    ``freq``: business days (B), days (D), hours (h) or minutes (min).  With ``group_by`` (one of ``categories``) the rows of a
+    level have coefficients of their own: ``group_betas`` by level, by default ``betas`` times the level's number from 1.
+    """
+    if freq not in STEPS:
+        raise ValueError(f"freq must be one of {list(STEPS)}")
+    if group_by is not None and group_by not in categories:
+        raise ValueError(f"{group_by} is no category")
     if betas is None:
         betas = [[float(i + 1) for _ in range(n_responses)] for i in range(n_features)]
-    days = (end_date - start_date).days + 1
-    # the row number encodes day and symbol, so no join is needed
-    df = spark.range(max(days, 0) * n_symbols).withColumn("date", F.date_add(F.lit(start_date), F.expr(f"int(id div {n_symbols})"))).where(F.weekday("date") < 5)
-    df = df.withColumn("symbol", F.format_string("S%05d", F.expr(f"id % {n_symbols}"))).withColumn("timestamp", F.col("date").cast("timestamp_ntz"))
+    per_day, working = STEPS[freq]
+    steps = max((end_date - start_date).days + 1, 0) * per_day
+    # the row number encodes time and symbol, so no join is needed
+    df = spark.range(steps * n_symbols).withColumn("_step", F.expr(f"id div {n_symbols}")).withColumn("date", F.date_add(F.lit(start_date), F.expr(f"int(_step div {per_day})")))
+    if working:
+        df = df.where(F.weekday("date") < 5)
+    df = df.withColumn("symbol", F.format_string("S%05d", F.expr(f"id % {n_symbols}")))
+    df = df.withColumn("timestamp", F.col("date").cast("timestamp_ntz") + F.make_dt_interval(mins=F.expr(f"int((_step % {per_day}) * {1440 // per_day})")))
     df = df.withColumns({f"x{i}": normal(seed, f"x{i}", F.col("id")) for i in range(n_features)})
-    df = df.withColumns({c: F.concat(F.lit(c), F.expr(f"cast(pmod(xxhash64({seed}, '{c}', symbol), {n_levels}) as string)")) for c in categories}) if categories else df
-    df = _responses(df, F.col("id"), betas, seed, 0.0, epsilon_scale, None)
+    level = {c: F.expr(f"pmod(xxhash64({seed}, '{c}', symbol), {n_levels})") for c in categories}
+    if categories:
+        df = df.withColumns({c: F.concat(F.lit(c), x.cast("string")) for c, x in level.items()})
+    if group_by is None:
+        df = _responses(df, F.col("id"), betas, seed, 0.0, epsilon_scale, None)
+    else:
+        of = group_betas or [[[b * (k + 1) for b in row] for row in betas] for k in range(n_levels)]
+        df = df.withColumn("_level", level[group_by])
+        for j in range(n_responses):
+            mean = F.lit(0.0)
+            for i in range(n_features):
+                mean = mean + F.col(f"x{i}") * F.get(F.array(*(F.lit(float(b[i][j])) for b in of)), F.col("_level").cast("int"))
+            df = df.withColumn(f"y{j}", mean + F.lit(epsilon_scale) * normal(seed, f"e{j}", F.col("id")))
     return df.select("symbol", "date", "timestamp", *categories, *(f"x{i}" for i in range(n_features)), *(f"y{j}" for j in range(n_responses)))
