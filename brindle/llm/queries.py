@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
+import public_tokenizers
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, lattice, lines, near, packing, pii, quality, spans, styletree
 
-#: Where the public tokenizer files are; each operator takes the path as a parameter.
-TOKENIZERS = "/opt/tokenizers"
+#: Public vocabularies whose fertility the quality rules measure; the first has byte fallback.
+VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
 SECRET = "brindle-demo-key"
 NEAR = {"width": 3, "percent": 85}
 
@@ -30,7 +30,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tokenizer(name: str) -> str:
-    return str(Path(TOKENIZERS, name))
+    """Where a public tokenizer file is; operators take the path as a parameter."""
+    return str(public_tokenizers.path(name))
+
+
+def vocabularies() -> list[str]:
+    return [tokenizer(name) for name in VOCABULARIES]
 
 
 def quality_bands(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
@@ -41,7 +46,7 @@ def quality_bands(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return {}
-    return quality.fit_bands(docs, labels, tokenizer("piece_bpe_32k.model"))
+    return quality.fit_bands(docs, labels, vocabularies())
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +74,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return quality.quality(docs, tokenizer("piece_bpe_32k.model"), by_lang=quality_bands(spark, docs, sf_dir))
+    return quality.quality(docs, vocabularies(), by_lang=quality_bands(spark, docs, sf_dir))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
