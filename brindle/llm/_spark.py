@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), a new temporary one, then kept."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, in a local session (tests) a new temporary one, then kept."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
         known = getattr(spark.sparkContext, "_brindle_shared", None)
         if not known:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             known = "file://" + tempfile.mkdtemp(prefix="brindle-")
             spark.sparkContext._brindle_shared = known
     return known.rstrip("/")
@@ -32,9 +34,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
+        atexit.register(self.remove, self.root)
 
-    def _remove(self, path: str) -> None:
+    def remove(self, path: str) -> None:
         try:
             jvm = self.spark._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
@@ -58,7 +60,7 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            self._remove(t._brindle_path)
+            self.remove(t._brindle_path)
 
 
 def partitions(spark: SparkSession) -> int:
