@@ -15,8 +15,14 @@ Where the low branches are all there is to a page (one article under many urls),
 A branch named as boilerplate stays if the headline or every ``article`` / ``main`` would go with it.
 
 The parser reads tags as they come: missing end tags are closed by the next block of the same kind or by
-an enclosing end tag, stray ones ignored.  Null html is an empty page.  The merged trees are a table of
-(host, node), never gathered on the driver; pages meet their host's importances by a join.
+an enclosing end tag, stray ones ignored; its time is in proportion to the page, whatever is unclosed or
+nested.  Nodes are known by a hash of their path.  Below ``HEIGHT`` levels a node counts as its ancestor
+there, in the tree only: its text is kept or goes with that.
+
+Null and empty html is an empty page, an empty table gives an empty result; ids may be null or repeat.  Pages
+without a host are one site.  The merged trees are a table of (host, node), never gathered on the driver;
+pages meet the roots of their host's low branches by a join: as many as its templates have, however many
+pages.
 """
 
 from __future__ import annotations
@@ -33,8 +39,10 @@ from pyspark.sql import functions as F
 
 from ._spark import Scratch
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
+HEIGHT = 64
+ATTR = re.compile(r"(?<![^\s\"'/])([^\s=\"'<>/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 #: Never shown, or not article text by their meaning.
@@ -43,6 +51,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Take no room on the page, so text around them is one block.
 UNSEEN = frozenset("script style template noscript".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements whose end tags close what is open inside; missing ones are not looked for beyond them.
+HOLDS = frozenset("ul ol table dl article main section div body td th li blockquote".split())
 BLOCK = frozenset("address article aside blockquote body center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A whole id or class, or the start of one up to a hyphen or underscore; ``site-`` and the like may stand before.
 BOILER = re.compile(r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary)[_-]|(?:post|entry|article)[_-](?!header|footer))?(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side-bar|footer|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|comment-\w+|respond|replies|disqus|widget|toolbar|pagination|pager|legal|disclaimer|copyright|skip|search)(?:[_-].*)?", re.I)
@@ -50,73 +60,119 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 
 
 class Node:
-    __slots__ = ("tag", "path", "kids", "texts", "parent", "bad", "named", "main")
+    __slots__ = ("tag", "path", "level", "kids", "parent", "bad", "named", "main")
 
-    def __init__(self, tag, path, parent, bad=False, main=False):
-        self.tag, self.path, self.parent, self.bad, self.main = tag, path, parent, bad, main
-        self.kids, self.texts, self.named = [], [], False
+    def __init__(self, tag: str, name: str, parent: Node | None, bad: bool = False, main: bool = False):
+        self.tag, self.parent, self.bad, self.main, self.named = tag, parent, bad, main, False
+        self.level = 0 if parent is None else min(parent.level + 1, HEIGHT)
+        self.path = _h(name) if parent is None else parent.path if parent.level == HEIGHT else _h(f"{parent.path}/{name}")
+        self.kids: list[Node | str] = []
+
+
+class _Tags:
+    """Where tags end; every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, False
+        self.last = {q: page.rfind(q) for q in "\"'>"}
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes begin at ``at``; -1 if none does.  A quote that never closes is a character like others."""
+        page, last = self.page, self.last
+        while at <= last[">"]:
+            m = STOP.search(page, at)
+            c = m[0]
+            if c == ">":
+                return m.start()
+            at = m.end()
+            if at <= last[c]:
+                at = page.find(c, at) + 1
+        return -1
 
 
 def parse(page: str) -> Node:
     """A light tree: ``kids`` are nodes and strings in order.  Raw text elements keep no content."""
     root = node = Node("", "", None)
-    at, n = 0, len(page)
+    tags, at, n = _Tags(page), 0, len(page)
+    open_tags: dict[str, int] = {}
+
+    def leave(to: Node) -> Node:
+        """Close elements up to and without ``to``."""
+        x = node
+        while x is not to:
+            open_tags[x.tag] -= 1
+            x = x.parent
+        return to
+
     while at < n:
-        m = TAG.search(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt < 0:
             node.kids.append(page[at:])
             break
-        if m.start() > at:
-            node.kids.append(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1]:
-                node.kids.append(m[1])
+        if lt > at:
+            node.kids.append(page[at:lt])
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)
+            at = end + 3 if end >= 0 else n
             continue
-        tag = tag.lower()
-        if m[2]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+        if page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt + 9)
+            node.kids.append(page[lt + 9 : end if end >= 0 else n])
+            at = end + 3 if end >= 0 else n
+            continue
+        if page.startswith(("<!", "<?"), lt) and tags.last[">"] > lt:
+            at = page.find(">", lt) + 1
+            continue
+        closing = page.startswith("</", lt)
+        m = NAME.match(page, lt + 1 + closing)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:  # no tag: a character like others
+            node.kids.append("<")
+            at = lt + 1
+            continue
+        tag, raw, at = m[0].lower(), page[m.end() : end], end + 1
+        if closing:
+            if open_tags.get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = leave(up.parent)
             elif tag == "p":
-                node.kids.append(Node("p", node.path + "/p", node))
+                node.kids.append(Node("p", "p", node))
             continue
         if tag in CLOSES or tag in BLOCK:
             ends = CLOSES.get(tag, ()) + (("p",) if tag in BLOCK else ())
-            stop = frozenset(("ul", "ol", "table", "dl", "article", "main", "section", "div", "body", "td", "th", "li", "blockquote")) - set(ends)
-            up = node
-            while up is not root and up.tag not in stop:
-                if up.tag in ends:
-                    node = up.parent
-                    break
-                up = up.parent
-        raw = m[4]
+            if any(map(open_tags.get, ends)):
+                up = node
+                while up is not root and (up.tag not in HOLDS or up.tag in ends):
+                    if up.tag in ends:
+                        node = leave(up.parent)
+                        break
+                    up = up.parent
         name, bad, named = tag, tag in DROP, False
         main = tag == "main" or tag == "article"
         if raw and "=" in raw:
             attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(raw)}
             marks = " ".join(x for x in (attrs.get("id"), attrs.get("class")) if x)
             if marks:
-                name = f"{tag}.{marks}".replace("/", "|")
+                name = f"{tag}.{marks}"
                 named = tag not in ("html", "body", "article", "main") and any(map(BOILER.fullmatch, marks.split()))
             role = attrs.get("role", "")
             bad = bad or role in ROLES
             main = main or role == "main"
         if raw and (" hidden" in raw.lower() or "display:none" in raw.replace(" ", "").lower()) and re.search(r"(?:\s|^)hidden(?:\s|=|$)|display\s*:\s*none", raw, re.I):
             bad = True
-        new = Node(tag, f"{node.path}/{name}", node, bad, main)
+        new = Node(tag, name, node, bad, main)
         new.named = named
         node.kids.append(new)
         if tag in RAW and not raw.endswith("/"):
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if tag == "title":
-                new.kids.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
+                new.kids.append(page[at : stop.start() if stop else n])
+            at = stop.end() if stop else n
         elif tag not in VOID and not raw.endswith("/"):
             node = new
+            open_tags[tag] = open_tags.get(tag, 0) + 1
     return root
 
 
@@ -125,13 +181,24 @@ def mark_named(root: Node) -> None:
     nodes = list(_walk(root))
     if not any(x.named for x in nodes):
         return
-    mains = [x for x in nodes if x.main]
+    # how many mains a node stands in, and the nearest
+    around: dict[Node, tuple[int, Node | None]] = {root: (0, None)}
+    for x in nodes[1:]:
+        n, near = around[x.parent]
+        around[x] = (n + 1, x.parent) if x.parent.main else (n, near)
+    # of mains inside mains the outer ones, so that work stays in proportion to the page
+    mains = [x for x in nodes if x.main and around[x][0] < 4]
+    inner: dict[Node, list[Node]] = {root: mains}
+    for y in mains:
+        x = around[y][1]
+        while x is not None:
+            inner.setdefault(x, []).append(y)
+            x = around[x][1]
     for x in mains or [root]:
         _spare(_headline(x), x)
     for x in [root, *(x for x in mains if x.tag != "article")]:
-        inner = [y for y in _walk(x) if y.main and y is not x]
-        if all(_named(y, x) for y in inner) and (x is root or not _text(x)):
-            for y in inner:
+        if all(_named(y, x) for y in inner.get(x, ())) and (x is root or not _text(x)):
+            for y in inner.get(x, ()):
                 _spare(y, x)
     for x in nodes:
         x.bad = x.bad or x.named
@@ -184,26 +251,21 @@ def _walk(node: Node) -> Iterator[Node]:
         stack += [k for k in reversed(x.kids) if isinstance(k, Node)]
 
 
-def mark_headers(node: Node) -> None:
+def mark_headers(root: Node) -> None:
     """A header goes too, but inside an article one that carries the headline stays."""
-    stack = [(node, False)]
-    while stack:
-        x, inside = stack.pop()
+    nodes = list(_walk(root))
+    if not any(x.tag == "header" for x in nodes):
+        return
+    heads = set()
+    for x in reversed(nodes):
+        if (x in heads or x.tag in ("h1", "h2")) and x.parent is not None:
+            heads.add(x.parent)
+    inside: set[Node] = set()
+    for x in nodes:
+        if x.parent is not None and (x.parent.main or x.parent in inside):
+            inside.add(x)
         if x.tag == "header":
-            x.bad = x.bad or not (inside and _has(x, ("h1", "h2")))
-        for k in x.kids:
-            if isinstance(k, Node):
-                stack.append((k, inside or x.main))
-
-
-def _has(node: Node, tags: tuple[str, ...]) -> bool:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if x.tag in tags:
-            return True
-        stack += [k for k in x.kids if isinstance(k, Node)]
-    return False
+            x.bad = x.bad or not (x in inside and x in heads)
 
 
 def host_of(url: str | None) -> str:
@@ -226,18 +288,19 @@ def observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tally: dict = {}
             for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 seen: set = set()
-                stack = [parse(page or "")]
-                while stack:
-                    x = stack.pop()
-                    kids = [k for k in x.kids if isinstance(k, Node)]
-                    blocks = [k for k in kids if k.tag not in INLINE]
-                    at = _h(x.path), _h(x.parent.path) if x.parent else 0, x.path.count("/")
+                root = parse(page or "")
+                places = {root: (root.path, 0, 0)}
+                for x in _walk(root):
+                    if x is not root:
+                        places[x] = places[x.parent] if x.parent.level == HEIGHT else (x.path, x.parent.path, x.level)
+                    at = places[x]
                     seen.add((*at, 0, 0))
-                    seen.add((*at, 1, _h("|".join(dict.fromkeys(k.path for k in blocks)))))
+                    if x.level < HEIGHT:
+                        blocks = dict.fromkeys(k.path for k in x.kids if isinstance(k, Node) and k.tag not in INLINE)
+                        seen.add((*at, 1, _h("|".join(map(str, blocks)))))
                     own = " ".join(" ".join(k.split()) for k in x.kids if isinstance(k, str)).strip()
                     if own:
                         seen.add((*at, 2, _h(own)))
-                    stack += kids
                 host = host_of(url)
                 for k in seen:
                     tally[host, *k] = tally.get((host, *k), 0) + 1
@@ -247,7 +310,7 @@ def observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def importances(pages: DataFrame, scratch: Scratch, damping: float, least: float, pages_least: int) -> DataFrame:
-    """``host, node, m, importance, low`` of the merged trees; ``low``: the node and all below it are."""
+    """``host, node, parent, m, importance, low`` of the merged trees; ``low``: the node and all below it are."""
     seen = pages.mapInArrow(observations, STYLE).groupBy("host", "node", "parent", "level", "kind", "feature").agg(F.sum("c").alias("c"))
     seen = scratch.table(seen, "observations")
     size = seen.where("kind = 0").groupBy("host", "node", "parent", "level").agg(F.sum("c").alias("m"))
@@ -275,7 +338,7 @@ def importances(pages: DataFrame, scratch: Scratch, damping: float, least: float
         out.append(scratch.table(here.select("host", "node", "parent", "m", "importance", low.alias("low")), "level"))
     scratch.drop(nodes)
     schema = out[0].schema
-    return pages.sparkSession.read.schema(schema).parquet(*(x._brindle_path for x in out)).drop("parent")
+    return pages.sparkSession.read.schema(schema).parquet(*(x._brindle_path for x in out))
 
 
 def main_text(page: str, low: frozenset[int]) -> str:
@@ -300,7 +363,7 @@ def _blocks(tops: list[Node], low: frozenset[int]) -> list[str]:
                 run.append(x)
             else:
                 node, inside, among = x
-                if node.bad or low and not (inside and among and node.tag in INLINE) and _h(node.path) in low:
+                if node.bad or low and not (inside and among and node.tag in INLINE) and node.path in low:
                     if node.tag not in INLINE and node.tag not in UNSEEN:
                         _flush(run, blocks)
                     continue
@@ -324,17 +387,19 @@ def _flush(run: list[str], blocks: list[str]) -> None:
 
 def _mains(root: Node) -> list[Node]:
     """The outermost ``article`` / ``main`` elements that stand in no dropped branch; inside ``main`` its articles, if any."""
-    out, stack = [], [root]
+    found: list[tuple[Node, Node | None]] = []
+    stack: list[tuple[Node, Node | None]] = [(root, None)]
     while stack:
-        x = stack.pop()
+        x, around = stack.pop()
         if x.bad:
             continue
         if x.main:
-            inner = [y for k in x.kids if isinstance(k, Node) for y in _mains(k)] if x.tag != "article" else []
-            out += inner or [x]
-            continue
-        stack += [k for k in reversed(x.kids) if isinstance(k, Node)]
-    return out
+            found.append((x, around))
+            if x.tag == "article":
+                continue
+        stack += [(k, x if x.main else around) for k in reversed(x.kids) if isinstance(k, Node)]
+    holding = {around for _, around in found}
+    return [x for x, _ in found if x not in holding]
 
 
 def extract(
@@ -344,8 +409,10 @@ def extract(
     scratch = Scratch(pages.sparkSession)
     pages = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     tree = importances(pages, scratch, damping, least, pages_least)
-    low = tree.where(F.col("low") & (F.col("node") != _h(""))).groupBy("host").agg(F.collect_list("node").alias("low"))
-    low = scratch.table(low, "low")
+    # of each low branch its root: what is below goes with it
+    low = scratch.table(tree.where(F.col("low") & (F.col("node") != _h(""))).select("host", "node", "parent"), "low")
+    above = low.select("host", F.col("node").alias("parent"))
+    low = scratch.table(low.join(above, ["host", "parent"], "left_anti").groupBy("host").agg(F.collect_list("node").alias("low")), "roots")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/?#:]*)", 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
