@@ -7,9 +7,18 @@ into blocks of bounded size and compared block by block with one matrix product;
 tables bring together counts once, in the first of them.  Only counts, and one forest edge per vector
 and block, leave a comparison - never the pairs.
 
-A cell of m vectors costs m * m / 2 comparisons, spread over (m / block)**2 tasks of bounded memory:
-exact link counts of a large group need that.  Vectors that are null, zero, or hold a null or
-non-finite component link with nothing.
+The lattice follows the number of vectors (``lattice_for``): the more there are, the finer the cells, so that a
+vector meets about as many unrelated ones at every size, and the more tables, so that a pair at the
+threshold is missed by all of them with the same probability.  Work thus grows as rows times tables,
+not with the square of the rows.
+
+Equal vectors form a class with one representative that stands for all of them, so copies are never
+compared.  A cell of m different vectors costs m * m / 2 comparisons, spread over (m / block)**2 tasks of
+bounded memory: exact link counts of a large group of near vectors need that.
+
+Vectors that are null, zero, or hold a null or non-finite component link with nothing; so do rows with a
+null id.  Lengths may differ; vectors of different lengths do not link.  An empty table gives an empty
+result.  Ids should be unique: rows of one id get one result, and those with equal vectors count as links.
 """
 
 from __future__ import annotations
@@ -69,43 +78,81 @@ def minimal_vectors() -> np.ndarray:
 _SHORT = minimal_vectors()
 
 
-def cells(x: np.ndarray, planes: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per table and row the cell's hash, and the hashes of the ``probes`` neighbouring cells closest to the row."""
-    tables, _, width = planes.shape
-    own = np.zeros((tables, len(x)), dtype=np.uint64)
-    near = np.zeros((tables, len(x), probes), dtype=np.uint64)
-    mult = U(0x9E3779B97F4A7C15)
+def codes(y: np.ndarray, t: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each projected row's cell in table ``t``, and those of the ``probes`` neighbouring cells closest to it."""
+    mult, width = U(0x9E3779B97F4A7C15), y.shape[1]
 
-    def code(points: np.ndarray, t: int) -> np.ndarray:
+    def code(points: np.ndarray) -> np.ndarray:
         h = np.full(len(points), t + 1, dtype=np.uint64)
         for k in range(points.shape[1]):
             h = mix(h * mult + points[:, k].view(np.uint64))
         return h
 
-    for t in range(tables):
-        y = x @ planes[t]
-        points = np.concatenate([nearest_e8(y[:, k : k + 8]) for k in range(0, width, 8)], axis=1)
-        own[t] = code(points, t)
-        if probes:
-            gain = np.concatenate([(y[:, k : k + 8] - points[:, k : k + 8] / 2) @ _SHORT.T for k in range(0, width, 8)], axis=1)
-            best = np.argpartition(-gain, probes - 1, axis=1)[:, :probes]
-            for j in range(probes):
-                moved = points.copy()
-                block, v = best[:, j] // 240, best[:, j] % 240
-                step = (2 * _SHORT).astype(np.int64)[v]
-                for k in range(width // 8):
-                    moved[:, 8 * k : 8 * k + 8] += step * (block == k)[:, None]
-                near[t, :, j] = code(moved, t)
-    return own, near
+    points = np.concatenate([nearest_e8(y[:, k : k + 8]) for k in range(0, width, 8)], axis=1)
+    near = np.zeros((len(y), probes), dtype=np.uint64)
+    if probes:
+        gain = np.concatenate([(y[:, k : k + 8] - points[:, k : k + 8] / 2) @ _SHORT.T for k in range(0, width, 8)], axis=1)
+        best = np.argpartition(-gain, probes - 1, axis=1)[:, :probes]
+        for j in range(probes):
+            moved = points.copy()
+            block, v = best[:, j] // 240, best[:, j] % 240
+            step = (2 * _SHORT).astype(np.int64)[v]
+            for k in range(width // 8):
+                moved[:, 8 * k : 8 * k + 8] += step * (block == k)[:, None]
+            near[:, j] = code(moved)
+    return code(points), near
+
+
+def cells(x: np.ndarray, planes: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """``codes`` of unit vectors for every table."""
+    own, near = zip(*(codes(x @ plane, t, probes) for t, plane in enumerate(planes)))
+    return np.stack(own), np.stack(near)
+
+
+def met(cosine: float, blocks: int, scale: float, probes: int, pairs: int = 4000) -> float:
+    """The share of pairs at ``cosine`` that one table brings together, by simulation with a fixed seed."""
+    rng = np.random.Generator(np.random.PCG64(23))
+    a, b = rng.standard_normal((2, pairs, 8 * blocks))
+    b = cosine * a + (1 - cosine * cosine) ** 0.5 * b
+    (own_a, near_a), (own_b, near_b) = (codes(y * scale, 0, probes) for y in (a, b))
+    return float(((own_a == own_b) | (near_a == own_b[:, None]).any(axis=1) | (near_b == own_a[:, None]).any(axis=1)).mean())
+
+
+def lattice_for(rows: int, cosine: float, probes: int, dense: int = 10_000, miss: float = 2e-4) -> tuple[int, int, float]:
+    """Tables, E8 blocks per table and scale for so many vectors.
+
+    Unrelated vectors share a cell of one block at scale s with probability (4 pi s * s)**-4.  Up to ``dense``
+    rows one block at scale 1 does; beyond, cells get finer in proportion to the rows.  Of the numbers of blocks that
+    give such cells the one that needs fewest tables is taken, so many that a pair at the threshold is missed by
+    all of them with probability ``miss``.
+    """
+    far = (4 * np.pi) ** -4 * min(1.0, dense / max(rows, 1))
+    options = []
+    for blocks in range(1, 6):
+        scale = float((far ** (-1 / (4 * blocks)) / (4 * np.pi)) ** 0.5)
+        if blocks > 1 and scale < 0.55:  # cells as wide as the data: the rule no longer holds
+            break
+        hit = met(cosine, blocks, scale, probes)
+        if hit > 0:
+            options.append((1 if hit >= 1 else int(np.ceil(np.log(miss) / np.log1p(-hit))), blocks, scale))
+    return min(options)
 
 
 def link_vectors(
-    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, tables: int = 10, blocks: int = 1, scale: float = 1.0, probes: int = 5, seed: int = 5
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, lattice: tuple[int, int, float] | None = None, probes: int = 5, seed: int = 5
 ) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row; ids are unique bigints, lengths may differ (and then do not link)."""
+    """``vec_id, n_links, component_id, kept`` for every row.  ``lattice``: tables, blocks and scale in place of ``lattice_for``'s."""
     scratch = Scratch(vectors.sparkSession)
     vectors = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(VECTOR).alias("v"))
-    good = vectors.where("v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+    good = vectors.where("vec_id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+
+    ids = good.select("vec_id", F.xxhash64("v").alias("ha"), F.xxhash64(F.lit("second"), "v").alias("hb"))
+    # tables of their own, so that the joins below can split the partition of a large class
+    classes = scratch.table(ids.groupBy("ha", "hb").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")).where("w > 1"), "classes")
+    copies = scratch.table(ids.join(classes, ["ha", "hb"]).where("vec_id <> rep").groupBy("vec_id").agg(F.min("rep").alias("rep")), "copies")
+    weights = classes.groupBy(F.col("rep").alias("vec_id")).agg(F.max("w").alias("w"))
+    good = good.join(copies.select("vec_id"), "vec_id", "left_anti").join(weights, "vec_id", "left").select("vec_id", "v", F.coalesce("w", F.lit(1)).alias("w"))
+    tables, blocks, scale = lattice or lattice_for(good.count(), cosine, probes)
 
     def matrix(column: pa.Array) -> np.ndarray:
         x = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
@@ -121,9 +168,9 @@ def link_vectors(
                     part = batch.take(pa.array(rows[lo : lo + 2048]))
                     own, near = cells(matrix(part.column(1)), projections(int(dim), tables, blocks, scale, seed), probes)
                     every = np.concatenate([own.T[:, :, None], near.transpose(1, 0, 2)], axis=2).reshape(part.num_rows, -1)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ragged(signed(every.ravel()), np.full(part.num_rows, every.shape[1]), pa.int64())], names=["vec_id", "v", "cells"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), ragged(signed(every.ravel()), np.full(part.num_rows, every.shape[1]), pa.int64())], names=["vec_id", "v", "w", "cells"])
 
-    each = scratch.table(good.mapInArrow(hashed, f"vec_id bigint, v {VECTOR}, cells array<bigint>"), "cells")
+    each = scratch.table(good.mapInArrow(hashed, f"vec_id bigint, v {VECTOR}, w bigint, cells array<bigint>"), "cells")
     slots = each.select("vec_id", F.posexplode("cells").alias("at", "cell")).select("vec_id", "cell", (F.col("at") % (probes + 1) == 0).alias("home"))
     sizes = slots.groupBy("cell").agg(F.count("*").alias("c"), F.count_if("home").alias("homes")).where("c > 1 and homes > 0").select("cell", "c")
     # block b of a cell meets the blocks from b on, itself included
@@ -131,9 +178,9 @@ def link_vectors(
     meets = dealt.select("vec_id", "home", "cell", "b", F.explode(F.expr("transform(sequence(0, n - 1), o -> struct(least(b, o) as lo, greatest(b, o) as hi))")).alias("m"))
     meets = scratch.table(meets.select("cell", "m.lo", "m.hi", "b", "home", "vec_id"), "meets")
     n = partitions(vectors.sparkSession)
-    stream = meets.join(each.select("vec_id", "v"), "vec_id").repartition(n, "cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").select("cell", "lo", "hi", "b", "home", "vec_id", "v")
+    stream = meets.join(each.select("vec_id", "v", "w"), "vec_id").repartition(n, "cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").select("cell", "lo", "hi", "b", "home", "vec_id", "v", "w")
 
-    def compare(cell: int, lo: int, hi: int, b: np.ndarray, home: np.ndarray, ids: np.ndarray, x: np.ndarray):
+    def compare(cell: int, lo: int, hi: int, b: np.ndarray, home: np.ndarray, ids: np.ndarray, x: np.ndarray, w: np.ndarray):
         g = x @ x.T >= cosine
         np.fill_diagonal(g, False)
         g &= home[:, None] | home[None, :]
@@ -163,7 +210,7 @@ def link_vectors(
         i, j = i[first.view(np.int64) == cell], j[first.view(np.int64) == cell]
         if len(i) == 0:
             return None
-        links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        links = (np.bincount(i, weights=w[j], minlength=len(ids)) + np.bincount(j, weights=w[i], minlength=len(ids))).astype(np.int64)  # exact below 2**53
         root = np.arange(len(ids))
         while True:  # labels fall to the smallest row of the local component
             low = np.minimum(root[i], root[j])
@@ -187,7 +234,7 @@ def link_vectors(
             size = np.asarray(whole.column(6).value_lengths())
             for dim in np.unique(size):
                 part = whole.take(pa.array(np.flatnonzero(size == dim)))
-                got = compare(*key, *(np.asarray(part.column(k)) for k in (3,)), part.column(4).to_numpy(zero_copy_only=False), np.asarray(part.column(5)), matrix(part.column(6)))
+                got = compare(*key, *(np.asarray(part.column(k)) for k in (3,)), part.column(4).to_numpy(zero_copy_only=False), np.asarray(part.column(5)), matrix(part.column(6)), np.asarray(part.column(7)))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()) for y in got], names=["vec_id", "links", "root"])
 
@@ -207,7 +254,10 @@ def link_vectors(
     found = scratch.table(stream.mapInArrow(run, "vec_id bigint, links bigint, root bigint"), "links")
     scratch.drop(meets, each)
     heads = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch)
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    out = vectors.select("vec_id").join(counts, "vec_id", "left").join(heads.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    of_class = classes.select(F.col("rep").alias("vec_id"), (F.col("w") - 1).alias("links"))
+    counts = found.select("vec_id", "links").unionByName(of_class).groupBy("vec_id").agg(F.sum("links").alias("n_links"))
+    per = counts.join(heads.withColumnRenamed("id", "vec_id"), "vec_id", "left").select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"))
+    per = scratch.table(per, "linked")
+    every = per.unionByName(copies.join(per.withColumnRenamed("vec_id", "rep"), "rep").drop("rep")).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    out = vectors.select("vec_id").join(every, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
