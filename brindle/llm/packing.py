@@ -4,24 +4,25 @@ Documents are cut into pieces of at most ``capacity`` words; pieces go, longest
 with the smallest sufficient residual that is compatible: it holds no other document of the piece's
 duplicate cluster and fewer than ``per_source`` documents of its source.  Bins are ordered by residual
 and carry bitmaps of clusters and of sources (one bitmap plane per document of a source).  The successor
-search walks the residuals upward; the bits that all bins of one residual share let it pass over the
+search walks the residuals upward and takes, of compatible bins of one residual, the one opened first; the bits that all bins of one residual share let it pass over the
 whole residual at once.  If no bin is compatible a new one opens.
 
-Shards of bounded size (``shard`` documents, dealt by a hash of the id) are packed independently, so a
-hot source or cluster is spread evenly and no task grows with the input; each shard leaves at most its
-last bins open.  Null and empty texts have no words and form no piece.
+Shards of about ``shard`` rows, dealt by a hash of the row, are packed independently, so a hot source or
+cluster is spread evenly and no task grows with the input; each shard leaves at most its last bins open.
+Their number follows the rows alone, never a session setting.  Null and empty texts have no words and form
+no piece; an empty table gives no bins.  Pieces of one length go in the order of their ids; rows of one id
+or without one are documents of their own.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import partitions
-
 PACKED = "doc_id bigint, piece int, start bigint, n_words bigint, bin_id string, residual bigint"
 
 
@@ -88,13 +89,13 @@ class Bins:
         r = self.left[b]
         if r > 0:
             self.common[r] = self.common[r] & self.mask[b] if r in self.common else self.mask[b]
-            self.at.setdefault(r, []).append(b)
+            insort(self.at.setdefault(r, []), b)
             self.used |= 1 << r
 
 
 def pack_shard(shard: str, items: list[tuple], capacity: int, per_source: int) -> list[tuple]:
     """``items``: (words, doc_id, piece, start, source, cluster).  Returns rows of ``PACKED``."""
-    items.sort(key=lambda x: (-x[0], x[1], x[2]))
+    items.sort(key=lambda x: (-x[0], x[1] is None, x[1] or 0, x[2], x[4] or "", x[5]))
     seen: dict = {}
     for x in items:
         seen[x[5]] = seen.get(x[5], 0) + 1
@@ -120,14 +121,13 @@ def pack(
     is a source of its own.
     """
     cluster = F.col(cluster_col).cast("string") if cluster_col else F.xxhash64("words").cast("string")
-    words = F.array_compact(F.transform(F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: F.when(w != "", w)))
+    lowered = F.when(F.octet_length("text") == F.char_length("text"), F.lower("text")).otherwise(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    words = F.array_compact(F.transform(F.split(lowered, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: F.when(w != "", w)))
     sized = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), *([F.col(cluster_col)] if cluster_col else []))
     sized = sized.withColumn("words", words).where("size(words) > 0").select("doc_id", "source", cluster.alias("cluster"), F.size("words").cast("bigint").alias("n"))
-    n = partitions(docs.sparkSession)
-    # the number of shards follows the row count; the count reads no text
-    total = docs.select(F.col(id_col)).count()
-    shards = max(n, -(-total // shard))
-    dealt = sized.withColumn("shard", F.expr(f"pmod(xxhash64(doc_id, 17), {shards})")).repartition(shards, "shard").sortWithinPartitions("shard")
+    # the count reads no text
+    shards = max(1, -(-docs.select(F.col(id_col)).count() // shard))
+    dealt = sized.withColumn("shard", F.expr(f"pmod(xxhash64(doc_id, source, cluster, n, 17), {shards})")).repartition(shards, "shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, items = None, []
