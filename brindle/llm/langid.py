@@ -5,9 +5,12 @@ text's words are runs of letters, lower-cased.  A known word adds its log freque
 is covered by the longest known n-grams (with the word's edges marked), falling back length by length.
 The language with the largest sum wins (ties: the first in alphabetical order).
 
-The model is fitted on labelled rows; the driver holds only the model, whose size is bounded by
-``words`` and ``grams`` entries per language and length.  ``fit_rows`` bounds the labelled sample, dealt
-evenly to the languages and drawn by a hash of the id; a language with fewer rows is taken whole.  Null texts and texts without letters are ``und`` with score 0.
+The model is fitted on labelled rows and holds every word and n-gram of them.  ``fit_rows`` bounds the
+labelled sample and with it the model, the only thing the driver holds; the sample is dealt evenly to the
+languages and drawn by a hash of the id; a language with fewer rows is taken whole.
+
+Null texts and texts without letters are ``und`` with score 0, and so is everything when nothing is
+labelled.  An empty table gives an empty result; null and repeated ids are rows like others.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import text_chunks
@@ -115,7 +118,7 @@ class Model:
         return [(self.langs[b], float(p)) if n else ("und", 0.0) for b, p, n in zip(best.tolist(), score.tolist(), counts.tolist())]
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 4000, words: int = 20_000, grams: int = 10_000) -> Model:
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 4000) -> Model:
     """Fit on about ``fit_rows`` rows with a language and a text, as many of each language (50 at least), drawn by hash; all rows of a language that has fewer."""
     some = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("rows"))
@@ -124,8 +127,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         most = max(50, math.ceil(fit_rows / each[0]))
         some = some.join(F.broadcast(counts), "lang").where(F.expr(f"pmod(xxhash64(id, 23), 1000000) < {most} * 1000000 / rows"))
     units = some.select("text", "lang").mapInArrow(_counts, "lang string, n int, unit string, c bigint").groupBy("lang", "n", "unit").agg(F.sum("c").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "unit"))
-    kept = units.withColumn("r", rank).where(F.col("r") <= F.when(F.col("n") == 0, words).otherwise(grams)).select("lang", "n", "unit", "c").toArrow()
+    kept = units.toArrow()
     rows = list(zip(*(kept.column(i).to_pylist() for i in range(4))))
     return Model(sorted({r[0] for r in rows}), rows)
 
