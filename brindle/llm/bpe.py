@@ -7,13 +7,16 @@ encoded once.  A token may follow another only if merging the two pieces by rank
 two; that test undoes the merges of both sides from the highest rank down.
 
 Reads tokenizer JSON files with a BPE model, ``</w>`` as word end, byte-level symbols and a
-``Split`` pattern whose matches are the words.  Null and empty texts have no tokens.  Rows are
-independent of each other; whole texts are read.
+``Split`` pattern whose matches are the words; texts are normalised (NFC, white space, lower case) first,
+and a file that asks for other steps is refused.  Null and empty texts have no tokens, an empty table gives
+an empty result.  Rows are independent of each other, so repeated ones and null ids are rows like others;
+whole texts are read.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -68,6 +71,9 @@ class TrieBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        kinds = lambda part, many: [x["type"] for x in (spec[part] or {}).get(many, [])]
+        if (kinds("normalizer", "normalizers"), kinds("pre_tokenizer", "pretokenizers"), spec["decoder"]) != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], None):
+            raise ValueError(f"{path} normalises, splits or decodes otherwise than this module")
         self.end = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.text = {i: t for t, i in self.vocab.items()}
@@ -81,6 +87,7 @@ class TrieBPE:
             self.split.setdefault(made, (r, *pair))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text |= {i: t for t, i in self.special.items()}
+        self.mark = os.path.commonprefix(list(self.special))  # a text without it holds no added token
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
@@ -184,7 +191,7 @@ class TrieBPE:
 
     def split_words(self, text: str) -> list[str]:
         """The words of a text; added tokens stand as their content with a leading NUL."""
-        if self.cut is None or "<|" not in text:
+        if self.cut is None or self.mark not in text:
             return self._plain_words(text)
         out: list[str] = []
         for piece in self.cut.split(text):

@@ -11,7 +11,9 @@
    bands bring together (a pair at the threshold is missed with probability (1 - t**rows)**bands, 4e-7
    for the defaults at 0.85).
 
-Null, empty and word-less texts have an empty set and link with nothing.  Extra columns are ignored.
+Null, empty and word-less texts have an empty set and link with nothing.  Extra columns are ignored; an
+empty table gives an empty result.  Copies and ties fall to the smallest id.  Rows of one id are one document that
+links with whatever any of them links with; rows with a null id link with nothing and are kept.
 """
 
 from __future__ import annotations
@@ -232,7 +234,7 @@ def across_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, seed: int = 11, pairs_most: int = 2_048
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; ids are unique bigints.
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     ``percent`` is the least Jaccard similarity in hundredths (80 and more suit the default bands).
     """
@@ -240,10 +242,11 @@ def near_duplicates(
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = scratch.table(signatures(docs, width, bands, rows, seed), "signatures")
-    some = sigs.where("n_shingles > 0")
-    copies = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1")
+    some = sigs.where("n_shingles > 0 and doc_id is not null")
+    # as a table of its own, so that the join below can split the partition of a large group of copies
+    classes = scratch.table(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
     copies = scratch.table(
-        some.select("doc_id", "set_a", "set_b", "n_shingles").join(copies, ["set_a", "set_b", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep"), "copies"
+        some.select("doc_id", "set_a", "set_b", "n_shingles").join(classes, ["set_a", "set_b", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep"), "copies"
     )
     reps = some.join(copies.select("doc_id"), "doc_id", "left_anti")
     slots = reps.select("doc_id", "n_shingles", F.posexplode("keys").alias("band", "key"))
@@ -303,7 +306,7 @@ def near_duplicates(
         heads = heads.join(above, "component", "left").select("id", F.coalesce("up", "component").alias("component")).union(top.select("id", "component").join(heads.select("id"), "id", "left_anti"))
     of_rep = heads.select(F.col("id").alias("doc_id"), "component")
     of_copy = copies.join(heads, copies.rep == heads.id, "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    placed = scratch.table(of_rep.union(of_copy), "components")
+    placed = scratch.table(of_rep.union(of_copy).groupBy("doc_id").agg(F.min("component").alias("component")), "components")
     scratch.drop(copies, links, linked, found)
     out = sigs.select("doc_id", "n_shingles").join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -11,7 +11,8 @@
    their own 128-bit hashes with their source coordinates.
 
 Removed are the words of all windows found repeated, judged on the input.  Null and empty texts have no
-words.  Documents are never gathered; per document only its own repeated nodes and windows are.
+words, an empty table gives an empty result, copies of a text lose all windows.  Rows that share an id
+or have none are documents of their own.  Documents are never gathered; per document only its own repeated nodes and windows are.
 """
 
 from __future__ import annotations
@@ -110,13 +111,17 @@ def _windows(w: Words, marks: list[np.ndarray], window: int, k: int) -> tuple[np
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 12) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept`` per row (ids are unique bigints).
+    """``doc_id, n_words, n_removed, kept_sha256, kept`` per row.
 
     ``kept`` is the text of the remaining words joined by one space, null where nothing was removed
     (the words are then the input's own).
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").head(1):  # number the rows; written, so that numbers last
+        numbered = scratch.table(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        out = repeated_spans(numbered, id_col="row", window=window, k=k).withColumnRenamed("doc_id", "row")
+        return numbered.select("row", "doc_id").join(out, "row").drop("row")
     each = scratch.table(graph(docs, window, k), "graph")
     rows = F.arrays_zip("nodes", "places", "edges", F.expr("array_insert(slice(edges, 1, greatest(size(edges) - 1, 0)), 1, 0L)").alias("before"))
     occ = each.where("size(nodes) > 0").select("doc_id", F.explode(rows).alias("r")).select("doc_id", F.col("r.nodes").alias("node"), F.col("r.places").alias("place"), F.col("r.edges").alias("after"), F.col("r.before").alias("before"))
@@ -148,10 +153,11 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((ask - w.first[doc]).astype(np.int32)), *map(pa.array, two)], names=["doc_id", "place", "ha", "hb"])
 
     asked = scratch.table(cand.mapInArrow(unsure, "doc_id bigint, place int, ha bigint, hb bigint"), "windows")
-    again = asked.groupBy("ha", "hb").agg(F.count("*").alias("c")).where("c > 1").select("ha", "hb")
+    # as a table of its own, so that the join below can split the partition of a passage that very many documents share
+    again = scratch.table(asked.groupBy("ha", "hb").agg(F.count("*").alias("c")).where("c > 1").select("ha", "hb"), "again")
     found = asked.join(again, ["ha", "hb"]).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     found = scratch.table(found, "found")
-    scratch.drop(asked)
+    scratch.drop(asked, again)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
