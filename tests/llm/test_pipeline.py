@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as P
 from brindle.llm import quality
-from brindle.llm.queries import tokenizer
+from brindle.llm.queries import vocabularies
 
 from .test_near import brute
 from .test_text_operators import brute_lines
@@ -24,7 +24,7 @@ def docs(spark):
 
 
 def test_stages(spark, docs):
-    verdict = {r.doc_id: r.kept for r in quality.quality(docs, tokenizer("piece_bpe_32k.model")).collect()}
+    verdict = {r.doc_id: r.kept for r in quality.quality(docs, vocabularies()).collect()}
     at = {}
     for name, stage in P.STAGES[:-1]:
         docs = stage(spark, docs, "").cache()
