@@ -7,41 +7,38 @@ from pyspark.sql import functions as F
 
 from brindle.llm import lines, near, packing, pii, quality
 from brindle.llm._spark import Scratch
-from brindle.llm.queries import SECRET, quality_bands, tokenizer, tune
+from brindle.llm.queries import SECRET, quality_bands, tune, vocabularies
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _with_text(docs: DataFrame, new: DataFrame) -> DataFrame:
-    """``docs`` with the texts of ``new`` (doc_id, text); lengths follow, null texts stay null."""
-    out = docs.select("doc_id", "lang", "source").join(new.select("doc_id", "text"), "doc_id")
-    return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+def _replaced(new: DataFrame, text: str) -> DataFrame:
+    """The documents an operator has ``carried``, with its column ``text`` for their text; lengths follow, null texts stay null."""
+    out = new.select("carried.*", F.col(text).alias("new"))
+    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("new"))).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; rows with a null id or an id of another row are judged like any."""
     tune(spark)
-    verdict = quality.quality(docs, tokenizer("piece_bpe_32k.model"), by_lang=quality_bands(spark, docs, sf_dir)).where("kept").select("doc_id")
-    verdict = Scratch(spark).table(verdict, "kept")
-    return docs.select(*COLUMNS).join(verdict, "doc_id", "left_semi")
+    return quality.quality(docs, vocabularies(), by_lang=quality_bands(spark, docs, sf_dir), carry=COLUMNS).where("kept").select("carried.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; the document stays with what is left."""
-    out = lines.dedup_lines(docs).select("doc_id", F.col("kept").alias("text"))
-    return _with_text(docs, out)
+    """Lines that an earlier document holds go; the document stays with what is left.  Rows with a null id stay as they are."""
+    return _replaced(lines.dedup_lines(docs, carry=COLUMNS), "kept")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
+    """One document of each near-duplicate group stays: the one with the smallest id.  Rows with a null id stay."""
     tune(spark)
-    kept = near.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    gone = near.near_duplicates(docs.where("doc_id is not null")).where("not kept").select("doc_id")
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced."""
-    return _with_text(docs, pii.pseudonymise(docs, key=SECRET).select("doc_id", "text"))
+    return _replaced(pii.pseudonymise(docs, key=SECRET, carry=COLUMNS), "text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
