@@ -180,34 +180,40 @@ def link_vectors(
     n = partitions(vectors.sparkSession)
     stream = meets.join(each.select("vec_id", "v", "w"), "vec_id").repartition(n, "cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").select("cell", "lo", "hi", "b", "home", "vec_id", "v", "w")
 
-    def compare(cell: int, lo: int, hi: int, b: np.ndarray, home: np.ndarray, ids: np.ndarray, x: np.ndarray, w: np.ndarray):
+    def pairs(cell: int, apart: bool, b: np.ndarray, home: np.ndarray, ids: np.ndarray, w: np.ndarray, x: np.ndarray):
+        """The near pairs of one group: the vectors in them, and the pairs as places among those."""
         g = x @ x.T >= cosine
         np.fill_diagonal(g, False)
         g &= home[:, None] | home[None, :]
-        if lo != hi:
+        if apart:
             g &= b[:, None] != b[None, :]
         i, j = np.nonzero(np.triu(g))
         if len(i) == 0:
             return None
-        # a pair counts where it first meets: in no earlier table, and there once
         used = np.unique(np.concatenate([i, j]))
-        back = np.zeros(len(ids), dtype=np.int64)
-        back[used] = np.arange(len(used))
-        own, near = cells(x[used], projections(x.shape[1], tables, blocks, scale, seed), probes)
+        return ids[used], w[used], x[used], np.searchsorted(used, i), np.searchsorted(used, j), np.full(len(i), cell)
+
+    def settled(held: list[tuple]) -> pa.RecordBatch | None:
+        """Links and roots from the pairs of many groups, each pair only where it first meets: in no earlier table, and there once."""
+        starts = np.cumsum([0, *(len(h[0]) for h in held)])
+        ids, w, x = (np.concatenate([h[k] for h in held]) for k in range(3))
+        i, j = (np.concatenate([h[k] + start for h, start in zip(held, starts)]) for k in (3, 4))
+        cell = np.concatenate([h[5] for h in held])
+        own, near = cells(x, projections(x.shape[1], tables, blocks, scale, seed), probes)
         hit = np.zeros(len(i), dtype=bool)
         first = np.zeros(len(i), dtype=np.uint64)
-        a, c = back[i], back[j]
         for t in range(tables):
-            both = own[t, a] == own[t, c]
-            cand = np.where(both, own[t, a], U(0))
+            both = own[t, i] == own[t, j]
+            cand = np.where(both, own[t, i], U(0))
             for q in range(probes):
-                m = (near[t, a, q] == own[t, c]) & ~both
-                cand = np.where(m, np.where(cand == 0, own[t, c], np.minimum(cand, own[t, c])), cand)
-                m = (near[t, c, q] == own[t, a]) & ~both
-                cand = np.where(m, np.where(cand == 0, own[t, a], np.minimum(cand, own[t, a])), cand)
+                m = (near[t, i, q] == own[t, j]) & ~both
+                cand = np.where(m, np.where(cand == 0, own[t, j], np.minimum(cand, own[t, j])), cand)
+                m = (near[t, j, q] == own[t, i]) & ~both
+                cand = np.where(m, np.where(cand == 0, own[t, i], np.minimum(cand, own[t, i])), cand)
             first = np.where(hit, first, cand)
             hit |= cand != 0
-        i, j = i[first.view(np.int64) == cell], j[first.view(np.int64) == cell]
+        mine = first.view(np.int64) == cell
+        i, j = i[mine], j[mine]
         if len(i) == 0:
             return None
         links = (np.bincount(i, weights=w[j], minlength=len(ids)) + np.bincount(j, weights=w[i], minlength=len(ids))).astype(np.int64)  # exact below 2**53
@@ -222,34 +228,42 @@ def link_vectors(
                 break
             root = new
         some = np.flatnonzero(links)
-        return ids[some], links[some], ids[root[some]]
+        return pa.RecordBatch.from_arrays([pa.array(y, pa.int64()) for y in (ids[some], links[some], ids[root[some]])], names=["vec_id", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def flush():
-            if key is None:
-                return
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            size = np.asarray(whole.column(6).value_lengths())
-            for dim in np.unique(size):
-                part = whole.take(pa.array(np.flatnonzero(size == dim)))
-                got = compare(*key, *(np.asarray(part.column(k)) for k in (3,)), part.column(4).to_numpy(zero_copy_only=False), np.asarray(part.column(5)), matrix(part.column(6)), np.asarray(part.column(7)))
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()) for y in got], names=["vec_id", "links", "root"])
+        open_group: dict[int, list[np.ndarray]] = {}  # by length of the vectors: the rows of the group that may go on
+        held: dict[int, list[tuple]] = {}
+        size: dict[int, int] = {}
+
+        def groups(dim: int, rows: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+            if dim in open_group:
+                rows = [np.concatenate(two) for two in zip(open_group.pop(dim), rows)]
+            key = rows[0]
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            if not last:
+                open_group[dim] = [r[cuts[-2] :] for r in rows]
+                cuts.pop()
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if hi - lo > 1 and (got := pairs(key[lo, 0], key[lo, 1] != key[lo, 2], *(r[lo:hi] for r in rows[1:]))):
+                    held.setdefault(dim, []).append(got)
+                    size[dim] = size.get(dim, 0) + len(got[0]) + len(got[3]) // 16
+                    if size[dim] >= 8 * BLOCK:
+                        size[dim] = 0
+                        if (batch := settled(held.pop(dim))) is not None:
+                            yield batch
 
         for batch in batches:
-            k = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(3)], axis=1)
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)]):
-                if lo == hi:
-                    continue
-                this = tuple(k[lo].tolist())
-                if this != key:
-                    yield from flush()
-                    key, held = this, []
-                held.append(batch.slice(lo, hi - lo))
-        yield from flush()
+            lengths = np.asarray(batch.column(6).value_lengths())
+            for dim in np.unique(lengths).tolist():
+                part = batch.take(pa.array(np.flatnonzero(lengths == dim)))
+                key = np.stack([np.asarray(part.column(c)).astype(np.int64) for c in range(3)], axis=1)
+                b, ids, w = (np.asarray(part.column(c)) for c in (3, 5, 7))
+                yield from groups(dim, [key, b, part.column(4).to_numpy(zero_copy_only=False), ids, w, matrix(part.column(6))], False)
+        for dim in list(open_group):
+            yield from groups(dim, [r[:0] for r in open_group[dim]], True)
+        for dim in held:
+            if (batch := settled(held[dim])) is not None:
+                yield batch
 
     found = scratch.table(stream.mapInArrow(run, "vec_id bigint, links bigint, root bigint"), "links")
     scratch.drop(meets, each)
