@@ -16,7 +16,7 @@ Frame = DataFrame | PushFrame
 HARVEST = 10_000
 #: Estimated bytes below which a right DataFrame is read whole: a harvest would cost more than it saves.
 LEAST = 64 << 20
-#: Distinct right times up to which a join in time without keys looks them up in one array.
+#: Right rows up to which a join in time without keys looks their times up in one array.
 LOOKUP = 1_000
 
 
@@ -116,10 +116,9 @@ def _asof(a: DataFrame, b: DataFrame, lt: str, rt: str, by_left: list[str], by_r
     if by or is_naive():
         out = _by_window(left, right, by, ways)
     else:
-        # a right side that may be large is counted first, which shuffles next to nothing
-        small = size_of(b) < LEAST or right.agg(F.approx_count_distinct("_t")).head()[0] <= LOOKUP
-        few = right.select("_t").distinct().limit(LOOKUP + 1).collect() if small else None
-        out = _by_lookup(left, right, sorted(r[0] for r in few), ways) if few is not None and len(few) <= LOOKUP else _by_ranges(left, right, ways)
+        # stops early on a large right side
+        few = right.select("_t").limit(LOOKUP + 1).collect()
+        out = _by_lookup(left, right, sorted({r[0] for r in few}), ways) if len(few) <= LOOKUP else _by_ranges(left, right, ways)
     if strategy == "nearest":
         dx, dy = F.abs(_diff(F.col("_t"), F.col("_x._t"), kind)), F.abs(_diff(F.col("_t"), F.col("_y._t"), kind))
         m = F.when(F.col("_y").isNull() | (dx <= dy), F.col("_x")).otherwise(F.col("_y"))
