@@ -24,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+FILE_ROWS = 100_000  # rows of a file where their number is known to be small
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder.
 
@@ -47,8 +50,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back.  Afterwards the JVM may free the shuffle files that only it needed."""
+    def table(self, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back.  Afterwards the JVM may free the shuffle files that only it needed.
+
+        Known to hold ``most`` rows at most, it has a file for every ``FILE_ROWS`` of them, however many shuffle
+        partitions there are: in a local folder Hadoop starts a ``chmod`` for each file, without its native library.
+        """
+        if most is not None:
+            df = df.coalesce(max(1, -(-most // FILE_ROWS)))
         path = self.path(name)
         schema = df.schema
         df.write.option("compression", "zstd").parquet(path)
@@ -87,13 +96,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.table(large, "large")
+        large = scratch.table(large, "large", mark.n)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        small = scratch.table(small, "small")
+        small = scratch.table(small, "small", 2 * mark.n)
         scratch.drop(now, large)
         now = small
 

@@ -1,8 +1,10 @@
 import random
+from pathlib import Path
 
 import pytest
 
 from brindle.llm import near
+from brindle.llm._spark import Scratch, components
 
 
 def brute(texts, width, percent):
@@ -51,3 +53,32 @@ def test_components_equal_brute_force(spark, most, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert near.near_duplicates(df).collect() == []
+
+
+@pytest.mark.parametrize("file_rows", [100_000, 50])
+def test_files_of_components_follow_their_rows(spark, file_rows, monkeypatch):
+    """However many shuffle partitions there are, a small graph is written as few files; more rows have more."""
+    monkeypatch.setattr("brindle.llm._spark.FILE_ROWS", file_rows)
+    monkeypatch.setattr(Scratch, "drop", lambda self, *tables: None)
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    rng = random.Random(4)
+    pairs = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    scratch = Scratch(spark)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.id: r.component for r in components(edges, scratch).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {i: i for p in pairs for i in p}
+    while changed := [p for p in pairs if want[p[0]] != want[p[1]]]:
+        for a, b in changed:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == {i: c for i, c in want.items() if i != c}
+    tables = [p for p in Path(scratch.root.removeprefix("file://")).iterdir() if p.name.startswith(("large", "small"))]
+    most = 1 if file_rows > len(pairs) else -(-2 * len(pairs) // file_rows)
+    files = [len(list(p.glob("part-*"))) for p in tables]
+    assert len(files) > 2 and max(files) <= most and (most == 1 or max(files) > 1)
