@@ -11,6 +11,8 @@ from ..sources.workspace import workspace
 
 #: Rows that one task sorts, about; a key of more is cut into ranges of its order.
 MOST = 500_000
+#: Tasks up to which Spark deals rows out as they come; for more, each reading task first gathers its whole share in memory.
+DIRECT = 200
 
 
 def key_ranks(df: DataFrame, by: str, order: Sequence[str], dense: str, tiles: int, most: int = MOST) -> DataFrame:
@@ -31,7 +33,8 @@ def key_ranks(df: DataFrame, by: str, order: Sequence[str], dense: str, tiles: i
 
 
 def tasks(rows: int, most: int) -> int:
-    return max(1, -(-rows // most))
+    """Tasks of ``most`` rows; between ``DIRECT`` of them and three times their rows so many, as long as that lasts."""
+    return max(1, min(-(-rows // most), max(DIRECT, -(-rows // (3 * most)))))
 
 
 def _plain(df: DataFrame, by: str, order: Sequence[str], dense: str, tiles: int, rows: int, most: int) -> DataFrame:
@@ -77,7 +80,7 @@ def _tile(rn: Column, n: Column, tiles: int) -> Column:
 
 
 def _cut(df: DataFrame, by: str, order: Sequence[str], dense: str, tiles: int, rows: int, most: int) -> DataFrame:
-    n = max(2, 2 * tasks(rows, most))
+    n = max(2, tasks(2 * rows, most))
     names = df.columns
     values = df.select(by, dense).distinct()
     values = _placed(values, by, [dense], n).select(by, dense, F.col("_rn").alias("dr"))

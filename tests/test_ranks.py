@@ -55,3 +55,8 @@ def test_no_task_holds_a_large_key(spark):
 
 def test_ranks_of_an_empty_table(spark):
     assert N.key_ranks(spark.range(0).selectExpr("id as k", "id as a", "id as b"), "k", ["a"], "b", 4).collect() == []
+
+
+def test_no_more_tasks_than_rows_are_dealt_to_directly():
+    m = N.MOST
+    assert [N.tasks(n, m) for n in (0, 1, m, m + 1, 200 * m, 432 * m, 600 * m, 900 * m)] == [1, 1, 1, 2, 200, 200, 200, 300]
